@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import cooccurrence
+from tidewire.llm import cooccurrence, tokens
 from tidewire.tables import table
 
+#: Folder of the public vocabulary files, the same on every executor; the session's ``tidewire.tokenizers`` overrides it.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.more_than_chance(p5_pairs(spark, sf))
@@ -17,7 +20,16 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.together(cooccurrence.mentions(table(spark, sf, "extracted_entities")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    folder = spark.conf.get("tidewire.tokenizers", TOKENIZERS)
+    return tokens.encode_ids(table(spark, sf, "documents"), f"{folder}/byte_bpe_50k.json")
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+    "p8_ids": p8_ids,
+}
 
 _PAIRS = r"""
 m AS (
