@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import cooccurrence, leakage, repeated_lines, tokens
+from tidewire.llm import cooccurrence, leakage, repeated_lines, residue, tokens
 from tidewire.tables import table
 
 #: Folder of the public vocabulary files, the same on every executor; the session's ``tidewire.tokenizers`` overrides it.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(msg_id) of messages and (record_id) of pages with residue."""
+    messages, pages = table(spark, sf, "kafka_schema"), table(spark, sf, "pipeline_task1")
+    canned = residue.repeated_responses(messages)
+    return residue.residue(messages, canned, "msg_id"), residue.residue(pages, canned, "record_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    messages, pages = _residue(spark, sf)
+    return messages.select(F.lit("kafka_schema").alias("table_name"), F.col("msg_id").alias("row_id")).unionAll(
+        pages.select(F.lit("pipeline_task1").alias("table_name"), F.col("record_id").alias("row_id"))
+    )
+
+
+def p2_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages without those whose content is or holds residue."""
+    _, found = _residue(spark, sf)
+    return table(spark, sf, "pipeline_task1").select("record_id", "url", "source_name", "content").join(found, "record_id", "left_anti")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf, "pipeline_task1")).select("source_name", "line")
 
@@ -50,6 +70,8 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clean_pages": p2_clean_pages,
     "p4_found": p4_found,
     "p4_pages": p4_pages,
     "p5_found": p5_found,
