@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import cooccurrence, leakage, repeated_lines, residue, tokens
+from tidewire.llm import cooccurrence, leakage, repeated_lines, residue, tokens, truncation
 from tidewire.tables import table
 
 #: Folder of the public vocabulary files, the same on every executor; the session's ``tidewire.tokenizers`` overrides it.
@@ -32,6 +32,20 @@ def p2_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pipeline_task1").select("record_id", "url", "source_name", "content").join(found, "record_id", "left_anti")
 
 
+def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+    messages = table(spark, sf, "kafka_schema")
+    leftovers = residue.residue(messages, residue.repeated_responses(messages), "msg_id")
+    return truncation.truncated(messages, leftovers)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _truncated(spark, sf).select("msg_id", "field_name")
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(table(spark, sf, "kafka_schema"), _truncated(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf, "pipeline_task1")).select("source_name", "line")
 
@@ -72,6 +86,8 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean_pages": p2_clean_pages,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_pages": p4_pages,
     "p5_found": p5_found,
