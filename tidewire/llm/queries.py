@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import cooccurrence, leakage, repeated_lines, residue, tokens, truncation
+from tidewire.llm import body_text, cooccurrence, leakage, repeated_lines, residue, tokens, truncation
 from tidewire.tables import table
 
 #: Folder of the public vocabulary files, the same on every executor; the session's ``tidewire.tokenizers`` overrides it.
@@ -63,6 +63,15 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.together(cooccurrence.mentions(table(spark, sf, "extracted_entities")))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pipeline_task1")
+    return body_text.body_lines(pages, *body_text.train(spark)).select("record_id", "line_no")
+
+
+def p7_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return body_text.body_texts(table(spark, sf, "pipeline_task1"), *body_text.train(spark))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     folder = spark.conf.get("tidewire.tokenizers", TOKENIZERS)
     return tokens.encode_ids(table(spark, sf, "documents"), f"{folder}/byte_bpe_50k.json")
@@ -92,6 +101,8 @@ QUERIES = {
     "p4_pages": p4_pages,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p7_found": p7_found,
+    "p7_bodies": p7_bodies,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
