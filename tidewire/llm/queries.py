@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import body_text, cooccurrence, leakage, repeated_lines, residue, tokens, truncation
+from tidewire.llm import body_text, cooccurrence, leakage, names, repeated_lines, residue, tokens, truncation
 from tidewire.tables import table
 
 #: Folder of the public vocabulary files, the same on every executor; the session's ``tidewire.tokenizers`` overrides it.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.variant_pairs(p1_entities(spark, sf))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.groups(names.spellings(table(spark, sf, "extracted_entities")))
+
+
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(msg_id) of messages and (record_id) of pages with residue."""
     messages, pages = table(spark, sf, "kafka_schema"), table(spark, sf, "pipeline_task1")
@@ -93,6 +101,8 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_clean_pages": p2_clean_pages,
     "p3_found": p3_found,
