@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import body_text, cooccurrence, leakage, names, repeated_lines, residue, tokens, truncation
+from tidewire.llm import body_text, cooccurrence, leakage, names, repeated_lines, residue, subjects, tokens, truncation
 from tidewire.tables import table
 
 #: Folder of the public vocabulary files, the same on every executor; the session's ``tidewire.tokenizers`` overrides it.
@@ -100,6 +100,23 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects(*(table(spark, sf, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of each subject, in number and as a share of all assignments, by source."""
+    found = _subjects(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    counted = found.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"))
+    per_source = counted.groupBy("source").agg(F.sum("documents").alias("total"))
+    joined = counted.join(per_source, F.col("source").eqNullSafe(per_source.source)).drop(per_source.source)
+    return joined.select("source", "subject", "documents", (F.col("documents") / F.col("total")).alias("share"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
@@ -116,6 +133,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
 }
 
 _PAIRS = r"""
