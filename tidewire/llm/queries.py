@@ -42,8 +42,7 @@ def p2_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _truncated(spark: SparkSession, sf: str) -> DataFrame:
     messages = table(spark, sf, "kafka_schema")
-    leftovers = residue.residue(messages, residue.repeated_responses(messages), "msg_id")
-    return truncation.truncated(messages, leftovers)
+    return truncation.truncated(messages, residue.repeated_responses(messages))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

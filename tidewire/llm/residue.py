@@ -118,22 +118,22 @@ def _in_row(words: K.Words, others: K.Words) -> np.ndarray:
     return np.isin(keyed(words), keyed(others))
 
 
-def sentence_codes(sentences: pa.Array) -> np.ndarray:
+def sentence_codes(sentences: pa.Array, words: K.Words | None = None) -> np.ndarray:
     """A hash of each sentence's words, numbers being equal; 0 where it doesn't end as one or has under two words."""
-    words = K.word_codes(*K.text_bytes(sentences))
+    words = K.word_codes(*K.text_bytes(sentences)) if words is None else words
     n = np.bincount(words.row, minlength=words.rows)
-    place = np.arange(len(words.code)) - np.r_[0, np.cumsum(n)[:-1]][words.row]
-    total = np.zeros(words.rows, np.uint64)
-    np.add.at(total, words.row, K.mix(words.code + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    ends = pc.match_substring_regex(sentences, r"[.!?][\"')]?\s*$").fill_null(False).to_numpy(zero_copy_only=False)
-    return np.where((n >= 2) & ends, K.mix(total), np.uint64(0)).view(np.int64)
+    ends = np.cumsum(n)
+    place = (np.arange(len(words.code)) - (ends - n)[words.row]).astype(np.uint64)
+    total = np.r_[np.uint64(0), np.cumsum(K.mix(words.code + place * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)]
+    whole = pc.match_substring_regex(sentences, r"[.!?][\"')]?\s*$").fill_null(False).to_numpy(zero_copy_only=False)
+    return np.where((n >= 2) & whole, K.mix(total[ends] - total[ends - n]), np.uint64(0)).view(np.int64)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sentences, row = _sentences(batch.column("content"))
-        code = sentence_codes(sentences)
         words = K.word_codes(*K.text_bytes(sentences))
+        code = sentence_codes(sentences, words)
         told = K.word_codes(*K.text_bytes(batch.column("told")))
         common = np.isin(told.code, _COMMON)
         told = K.Words(told.code[~common], told.row[~common], told.rows)
@@ -170,23 +170,33 @@ def repeated_responses(messages: DataFrame, least_urls: int = LEAST_URLS, most_o
     return cut(counted.filter(canned).select("code"))
 
 
+def canned_codes(canned: DataFrame) -> np.ndarray:
+    """The codes of ``canned`` for use in tasks. Each stands for at least LEAST_URLS records of one template, so their
+    number is that of templates, not of rows; it is checked to be at most a million."""
+    if canned.count() > 1_000_000:
+        raise ValueError("over a million canned responses: the topic evidence doesn't fit these records")
+    return np.sort(np.array([r.code for r in canned.toLocalIterator()], np.int64))
+
+
+def holds_residue(content: pa.Array, codes: np.ndarray) -> np.ndarray:
+    """Whether each text holds residue by a detector or has a sentence of ``codes``; false for null."""
+    hit = detected(content).fill_null(False).to_numpy(zero_copy_only=False)
+    if len(codes):
+        sentences, row = _sentences(content)
+        hit = hit | (np.bincount(row[np.isin(sentence_codes(sentences), codes)], minlength=len(content)) > 0)
+    return hit
+
+
 def residue(rows: DataFrame, canned: DataFrame, key: str = "row_id") -> DataFrame:
     """(key): rows whose ``content`` holds residue by a detector or a canned response of ``canned``.
 
-    The codes of ``canned`` travel to the tasks: each stands for at least LEAST_URLS records of one template, so their
-    number is that of templates, not of rows; it is checked to be at most a million. Null and blank contents are none.
+    Null and blank contents are none; other columns are ignored; empty input gives empty output.
     """
-    if canned.count() > 1_000_000:
-        raise ValueError("over a million canned responses: the topic evidence doesn't fit these records")
-    codes = np.sort(np.array([r.code for r in canned.toLocalIterator()], np.int64))
+    codes = canned_codes(canned)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = batch.column("content")
-            hit = detected(content).fill_null(False).to_numpy(zero_copy_only=False)
-            if len(codes):
-                sentences, row = _sentences(content)
-                hit = hit | (np.bincount(row[np.isin(sentence_codes(sentences), codes)], minlength=len(batch)) > 0)
+            hit = holds_residue(batch.column("content"), codes)
             yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(hit))], [key])
 
     return rows.select(key, "content").filter(F.col("content") != "").mapInArrow(found, f"{key} bigint")
