@@ -10,8 +10,9 @@ from tidewire.functions import wordlists as L
 from tidewire.tables import table
 
 
-def _messages(*columns):
-    return lambda spark, sf: table(spark, sf, "kafka_schema").select("msg_id", *columns)
+def _messages(columns):
+    """Columns over the messages; made when the query runs, as a column needs a session."""
+    return lambda spark, sf: table(spark, sf, "kafka_schema").select("msg_id", *columns())
 
 
 def _sentences(of):
@@ -33,24 +34,24 @@ QUERIES = {
     "filter_not_null": lambda spark, sf: table(spark, sf, "pipeline_task1").filter("title IS NOT NULL AND content IS NOT NULL").select("record_id", "title"),
     "filter_min_length": lambda spark, sf: table(spark, sf, "kafka_schema").filter(F.char_length("content") >= 20).select("msg_id"),
     "fillna_text": lambda spark, sf: table(spark, sf, "kafka_schema").select("msg_id", "content").fillna({"content": ""}),
-    "coalesce_text": _messages(T.best_text(c("content"), c("title"), c("description")).alias("best_text")),
-    "clean_text": _messages(T.clean_text(c("content")).alias("cleaned")),
+    "coalesce_text": _messages(lambda: [T.best_text(c("content"), c("title"), c("description")).alias("best_text")]),
+    "clean_text": _messages(lambda: [T.clean_text(c("content")).alias("cleaned")]),
     "clean_page": _clean_page,
     "sentences_train": _sentences(T.sentences_train),
     "sentences_stream": _sentences(T.sentences_stream),
-    "source_type": _messages(E.source_type(c("url")).alias("source_type")),
-    "source_outlet": _messages(E.source_outlet(c("url")).alias("outlet")),
-    "source_domain": _messages(E.source_domain(c("url")).alias("domain"), E.source_short_name(E.source_domain(c("url"))).alias("short_name")),
-    "category": _messages(E.category(c("content")).alias("category")),
-    "word_count": _messages(E.word_count(c("content")).alias("words")),
-    "parse_dates": _messages(E.parse_date(c("publishedAt")).alias("day")),
-    "url_date": _messages(E.url_date(c("url")).alias("day")),
-    "project_names": _messages(E.project_names(c("content")).alias("projects")),
-    "entities_regex": _messages(E.proper_names(c("content")).alias("names"), E.money(c("content")).alias("amounts")),
+    "source_type": _messages(lambda: [E.source_type(c("url")).alias("source_type")]),
+    "source_outlet": _messages(lambda: [E.source_outlet(c("url")).alias("outlet")]),
+    "source_domain": _messages(lambda: [E.source_domain(c("url")).alias("domain"), E.source_short_name(E.source_domain(c("url"))).alias("short_name")]),
+    "category": _messages(lambda: [E.category(c("content")).alias("category")]),
+    "word_count": _messages(lambda: [E.word_count(c("content")).alias("words")]),
+    "parse_dates": _messages(lambda: [E.parse_date(c("publishedAt")).alias("day")]),
+    "url_date": _messages(lambda: [E.url_date(c("url")).alias("day")]),
+    "project_names": _messages(lambda: [E.project_names(c("content")).alias("projects")]),
+    "entities_regex": _messages(lambda: [E.proper_names(c("content")).alias("names"), E.money(c("content")).alias("amounts")]),
     "sentiment_label": lambda spark, sf: table(spark, sf, "enriched_sentences").select("sentence_id", E.sentiment_label(c("Sentiment_Result")).alias("label"), E.sentiment_label(c("Sentiment_Result"), "unknown").alias("strict_label")),
     "score_map": lambda spark, sf: table(spark, sf, "enriched_sentences").select("sentence_id", E.score_of_prediction((c("Sentiment_Result") + 3).cast("double")).alias("score")),
-    "pub_day": _messages(E.pub_day(c("publishedAt")).alias("day")),
-    "post_id": _messages(E.post_id(c("url")).alias("post_id")),
+    "pub_day": _messages(lambda: [E.pub_day(c("publishedAt")).alias("day")]),
+    "post_id": _messages(lambda: [E.post_id(c("url")).alias("post_id")]),
 }
 
 

@@ -21,8 +21,8 @@ QUERIES = {
     "r_top_categories": _over(R.top_categories, "positive", 5),
     "r_by_published_date": _over(R.by_published, 40, "2024-02-01T00:00:00Z", "2024-04-30T23:59:59Z"),
     "r_mixed_sentiment": _over(R.mixed),
-    "r_top_positive": _over(R.top_titles, F.col("sentiment_label") == "positive", "positive_count"),
-    "r_top_negative": _over(R.top_titles, F.col("Sentiment_Result") <= -2, "negative_count"),
+    "r_top_positive": _over(lambda s: R.top_titles(s, F.col("sentiment_label") == "positive", "positive_count")),
+    "r_top_negative": _over(lambda s: R.top_titles(s, F.col("Sentiment_Result") <= -2, "negative_count")),
     "r_keyword_search": _over(R.keyword_search, "terminal|market|gas"),
     "r_keyword_sentences": _over(R.keyword_sentences, ["dividend", "trunk line", "court"], 25, "2024-01-01T00:00:00Z", "2024-05-31T23:59:59Z"),
     "r_source_summary": _over(R.source_summary),
