@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import body_text, cooccurrence, leakage, names, repeated_lines, residue, subjects, tokens, truncation
@@ -108,12 +108,14 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents of each subject, in number and as a share of all assignments, by source."""
+    """The documents of each subject by source, in number and as a share of the source's assignments.
+
+    The window runs over the counts, a row for each source and subject.
+    """
     found = _subjects(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     counted = found.groupBy("source", "subject").agg(F.count(F.lit(1)).alias("documents"))
-    per_source = counted.groupBy("source").agg(F.sum("documents").alias("total"))
-    joined = counted.join(per_source, F.col("source").eqNullSafe(per_source.source)).drop(per_source.source)
-    return joined.select("source", "subject", "documents", (F.col("documents") / F.col("total")).alias("share"))
+    total = F.sum("documents").over(Window.partitionBy("source"))
+    return counted.withColumn("share", F.col("documents") / total)
 
 
 QUERIES = {

@@ -140,7 +140,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _in_row(K.Words(words.code, row[words.row] if len(row) else words.row, told.rows), told)
         hits = np.bincount(words.row[found], minlength=len(sentences))
         total = np.bincount(row, weights=hits, minlength=len(batch)).astype(np.int64)
-        on_topic = (total[row] - hits > 0).astype(np.int32)
+        on_topic = (total[row] > 0).astype(np.int32)
         keep = code != 0
         link = batch.column("link").to_numpy()[row]
         yield pa.RecordBatch.from_arrays([pa.array(code[keep]), pa.array(link[keep]), pa.array(on_topic[keep])], ["code", "link", "on_topic"])
@@ -150,10 +150,10 @@ _COMMON = np.array([K.word_code(w) for w in "a about after an and any are as at
 
 
 def repeated_responses(messages: DataFrame, least_urls: int = LEAST_URLS, most_on_topic: float = MOST_ON_TOPIC) -> DataFrame:
-    """(code): sentences that answer for many addresses and never stand beside text about them.
+    """(code): sentences that answer for many addresses in records that say nothing about them.
 
-    Every sentence of every record counts for its hash: the records, and those whose other sentences have words of the
-    record's title, address slug or description. A sentence of at least ``least_urls`` records of which at most the
+    Every sentence of every record counts for its hash: the records, and those whose content has words of the record's
+    title, address slug or description. A sentence of at least ``least_urls`` records of which at most the
     share ``most_on_topic`` is on topic is a canned response of a host. One map-side combined count; the few codes found
     are cut to the shared folder.
     """
