@@ -21,6 +21,25 @@ def alternation(words: list[str], dotted: bool | None = None) -> str:
     return "|".join(re.sub(r"([.()?!,&])", r"\\\1", w) for w in chosen)
 
 
+def prefix_tree(words: list[str]) -> str:
+    """A pattern for the same words as their alternation, with common beginnings tried once."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        options = [re.sub(r"([.()?!,&+*])", r"\\\1", c) + pattern(rest) for c, rest in node.items() if c]
+        if not options:
+            return ""
+        inner = options[0] if len(options) == 1 and "" not in node else f"(?:{'|'.join(options)})"
+        return inner + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
 def without_keyword_sentences(text: Column, words: list[str]) -> Column:
     """``text`` without the sentences that hold one of ``words`` as a whole word, in any case.
 
@@ -28,8 +47,8 @@ def without_keyword_sentences(text: Column, words: list[str]) -> Column:
     one removal after the other. Words with a sentence end inside, which no part holds, are removed by pattern, but
     only from texts that contain them. A last part without a sentence end stays.
     """
-    keyword = rf"(?i)\b(?:{alternation(words, dotted=False)})\b"
-    keep = F.filter(F.split(text, PARTS), lambda p: ~(p.rlike(keyword) & p.rlike(r"[.?!]$")))
+    keyword = rf"\b{prefix_tree([w.lower() for w in words if not re.search(r'[.?!]', w)])}\b"
+    keep = F.filter(F.split(text, PARTS), lambda p: ~(F.lower(p).rlike(keyword) & p.rlike(r"[.?!]$")))
     out = F.array_join(keep, "")
     inner = alternation(words, dotted=True)
     return F.when(out.rlike(f"(?i){inner}"), F.regexp_replace(out, rf"(?i)(?<![^.?!])[^.?!]*\b(?:{inner})\b[^.?!]*[.?!]", "")).otherwise(out) if inner else out
@@ -48,7 +67,7 @@ def clean_text(text: Column) -> Column:
     out = F.regexp_replace(out, "|".join(L.LEGAL), "")
     out = F.regexp_replace(out, r"[^a-zA-Z0-9\s.,?!;:()'\"-]", "")
     out = without_keyword_sentences(out, L.NON_ARTICLE)
-    return _white(F.regexp_replace(out, rf"(?i)\b(?:{alternation(L.FAQ)})\b", ""))
+    return _white(F.regexp_replace(out, rf"(?i)\b{prefix_tree(L.FAQ)}\b", ""))
 
 
 def clean_page(text: Column, least_words: int = 15) -> Column:
@@ -56,7 +75,7 @@ def clean_page(text: Column, least_words: int = 15) -> Column:
     out = without_keyword_sentences(text, L.NON_ARTICLE + L.NON_ARTICLE_PAGES)
     for statement in L.STATEMENTS:
         out = F.replace(out, F.lit(statement), F.lit(""))
-    out = F.regexp_replace(out, rf"(?i)\b(?:{alternation(L.FAQ)})\b", "")
+    out = F.regexp_replace(out, rf"(?i)\b{prefix_tree(L.FAQ)}\b", "")
     out = F.regexp_replace(out, rf"(?i)\b(?:{'|'.join(L.LEGAL)})\b", "")
     out = _white(F.regexp_replace(out, r"[^\x00-\x7F]+", ""))
     return F.when((out != "") & (F.size(F.split(out, " ")) >= least_words), out)

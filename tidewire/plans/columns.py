@@ -19,7 +19,8 @@ def _sentences(of):
     """One row per sentence; rows without any vanish."""
 
     def query(spark, sf):
-        return table(spark, sf, "kafka_schema").select("msg_id", F.explode(of(T.clean_text(F.col("content")))).alias("sentence"))
+        parts = F.explode_outer(of(T.clean_text(F.col("content")))).alias("sentence")  # explode would evaluate them twice, to filter empty lists
+        return table(spark, sf, "kafka_schema").select("msg_id", parts).filter("sentence IS NOT NULL")
 
     return query
 

@@ -36,7 +36,8 @@ def sentences(messages: DataFrame) -> DataFrame:
         }
     )
     keep = ["msg_id", "publishedAt", "url", "cleaned_title", "cleaned_description", "source", "source_domain", "category", "word_count", "people_mentioned", "project_names", "financial_figures", "topic_label"]
-    return enriched.select(*[c for c in keep if c in enriched.columns], F.explode(T.sentences_stream(F.col("cleaned_content"))).alias("sentence"))
+    parts = F.explode_outer(T.sentences_stream(F.col("cleaned_content"))).alias("sentence")  # explode would evaluate them twice, to filter empty lists
+    return enriched.select(*[c for c in keep if c in enriched.columns], parts).filter("sentence IS NOT NULL")
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
