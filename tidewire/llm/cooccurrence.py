@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import cut
+
 #: Records with more frequent items than this are paired block by block in several tasks.
 WIDE = 256
 #: Items in a block of a wide record, on average.
@@ -107,27 +109,23 @@ def pair_counts(coded: DataFrame) -> DataFrame:
     A pair's code is the smaller id times 2**32 plus the larger. Tasks emit their codes as sorted runs with counts;
     the shuffle sorts each partition externally (it spills runs and merges them), and one pass counts run lengths. A
     record with more than WIDE items is split into blocks by hash, and every two blocks are paired in a task of their
-    own, so that no task or row holds an unbounded record.
+    own, so that no task or row holds an unbounded record. Without such records, which is checked first, the blocks and
+    the join that tells them apart are left out; a few are told apart by broadcast, many by shuffling.
     """
-    sized = coded.groupBy("record").agg(F.count(F.lit(1)).alias("k"))
-    narrow = (
-        coded.join(sized.filter(F.col("k") <= WIDE).hint("shuffle_hash"), "record", "left_semi")
-        .groupBy("record")
-        .agg(F.collect_list("id").alias("a"))
-        .select("a", F.lit(None).cast("array<int>").alias("b"))
-    )
-    wide = sized.filter(F.col("k") > WIDE)
-    blocks = (
-        coded.join(wide, "record")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK)))
-        .groupBy("record", "block")
-        .agg(F.collect_list("id").alias("a"))
-    )
-    inside = blocks.select("a", F.lit(None).cast("array<int>").alias("b"))
-    other = blocks.select("record", F.col("block").alias("other"), F.col("a").alias("b"))
-    across = blocks.join(other, "record").filter(F.col("block") < F.col("other")).select("a", "b")
-    runs = narrow.unionByName(inside).unionByName(across).mapInArrow(_emit, CODES)
-    return runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, CODES)
+    alone = F.lit(None).cast("array<int>").alias("b")
+    wide = cut(coded.groupBy("record").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > WIDE))
+    n_wide = wide.count()
+    if n_wide and n_wide <= BROADCAST_ITEMS:
+        wide = F.broadcast(wide)
+    narrow = coded.join(wide.select("record"), "record", "left_anti") if n_wide else coded
+    lists = narrow.groupBy("record").agg(F.collect_list("id").alias("a")).select("a", alone)
+    if n_wide:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK))
+        blocks = coded.join(wide, "record").groupBy("record", block.alias("block")).agg(F.collect_list("id").alias("a"))
+        other = blocks.select("record", F.col("block").alias("other"), F.col("a").alias("b"))
+        across = blocks.join(other, "record").filter(F.col("block") < F.col("other")).select("a", "b")
+        lists = lists.unionByName(blocks.select("a", alone)).unionByName(across)
+    return lists.mapInArrow(_emit, CODES).repartition("code").sortWithinPartitions("code").mapInArrow(_merge, CODES)
 
 
 def together(mentioned: DataFrame, least: int = 5, least_share: float = 1 / 500) -> DataFrame:
@@ -150,7 +148,8 @@ def together(mentioned: DataFrame, least: int = 5, least_share: float = 1 / 500)
     ).persist(StorageLevel.DISK_ONLY)
     small = numbered.count() <= BROADCAST_ITEMS
     sized = F.broadcast if small else (lambda df: df)
-    coded = mentioned.join(sized(numbered.select("item", "id")), "item").select("record", "id")
+    record = F.struct(F.xxhash64("record").alias("a"), F.hash("record").alias("b")).alias("record")  # 96 bits stand for the text
+    coded = mentioned.join(sized(numbered.select("item", "id")), "item").select(record, "id").persist(StorageLevel.DISK_ONLY)
     pairs = pair_counts(coded).filter(F.col("n") >= need)
 
     def named(side: str, id_: Column) -> DataFrame:
