@@ -22,6 +22,9 @@ RADIUS = 3
 #: Items whose windows are held in a task at once (about 100 MB); more items are searched in further passes.
 ITEMS_AT_ONCE = 20_000
 
+#: Words whose windows are hashed at once.
+AT_ONCE = 50_000
+
 FOUND = "doc_id bigint, item_id bigint, similarity double, shared_run int"
 
 
@@ -45,9 +48,9 @@ def simhashes(codes: np.ndarray, span: int) -> np.ndarray:
     if len(codes) < span:
         return np.empty(0, np.uint64)
     bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros((len(codes) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:], dtype=np.int32)
-    most = 2 * (total[span:] - total[:-span]) > span
+    total = np.zeros((len(codes) + 1, 64), np.int16)  # sums may wrap around, their differences don't
+    np.cumsum(bits, axis=0, out=total[1:], dtype=np.int16)
+    most = (total[span:] - total[:-span]) * 2 > span
     return np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -114,6 +117,23 @@ def _similarity(a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
     return common / (2 * (span - 1) - common)
 
 
+def _joined(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Documents of a batch, about AT_ONCE words at a time: their ids, the codes of their words one after the other, and
+    the document of each word."""
+    docs, parts, size = [], [], 0
+    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        if len(known) > 1_000_000:
+            known.clear()
+        docs.append(doc)
+        parts.append(word_codes(words(text.as_py()), known))
+        size += len(parts[-1])
+        if size >= AT_ONCE:
+            yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            docs, parts, size = [], [], 0
+    if docs:
+        yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
 def _search(items: list[tuple[int, str | None]], span: int, radius: int, least: float):
     """A function over Arrow batches of documents that yields the items of ``items`` found in them."""
 
@@ -123,25 +143,27 @@ def _search(items: list[tuple[int, str | None]], span: int, radius: int, least:
         step = np.arange(span)
         for batch in batches:
             out: list[tuple] = []
-            texts = batch.column("text")
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                if len(known) > 1_000_000:
-                    known.clear()
-                codes = word_codes(words(text.as_py()), known)
+            for docs, codes, doc in _joined(batch, known):
                 prints = simhashes(codes, span)
-                at, window = index.near(prints)
-                if not len(at):
+                if not len(prints):
+                    continue
+                start = np.flatnonzero(doc[: len(prints)] == doc[span - 1 :])  # windows inside one document
+                near, window = index.near(prints[start])
+                if not len(near):
                     continue
+                at = start[near]
                 a = codes[at[:, None] + step]
                 b = index.codes[index.start[window][:, None] + step]
                 equal = (a == b).all(axis=1)
                 likeness = np.where(equal, 1.0, _similarity(a, b, span))
                 keep = likeness >= least
                 at, window, equal, likeness = at[keep], window[keep], equal[keep], likeness[keep]
-                found = index.item[window]
-                runs = _runs(at[equal], index.start[window][equal], found[equal], span)
-                for item in np.unique(found):
-                    out.append((doc, int(item), float(likeness[found == item].max()), runs.get(int(item), 0)))
+                pair, which = np.unique(np.stack([doc[at], index.item[window]]), axis=1, return_inverse=True)
+                which = which.ravel()
+                best = np.zeros(pair.shape[1])
+                np.maximum.at(best, which, likeness)
+                runs = _runs(at[equal], index.start[window][equal], which[equal], span)
+                out += [(docs[d], int(item), float(best[k]), runs.get(k, 0)) for k, (d, item) in enumerate(pair.T.tolist())]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "similarity", "shared_run"), r, strict=True)) for r in out], _SCHEMA)
 
     return search
