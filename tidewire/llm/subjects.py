@@ -67,25 +67,23 @@ class Rows:
         row, term = key // BUCKETS, key % BUCKETS
         weight = (1 + np.log(count)) * idf[term]
         norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n))
-        return cls(row, term, weight / np.maximum(norm[row], 1e-12), n)
+        return cls(row, term, (weight / np.maximum(norm[row], 1e-12)).astype(np.float32), n)
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
         """Rows by the columns of ``matrix`` (terms by dimensions)."""
-        out = np.zeros((self.n, matrix.shape[1]))
+        out = np.zeros((self.n, matrix.shape[1]), np.float32)
         if len(self.row):
             first = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]])
             out[self.row[first]] = np.add.reduceat(matrix[self.term] * self.weight[:, None], first, axis=0)
         return out
 
-    def transposed_times(self, matrix: np.ndarray) -> np.ndarray:
-        """Terms by the columns of ``matrix`` (rows by dimensions)."""
+    def add_transposed_times(self, matrix: np.ndarray, total: np.ndarray) -> None:
+        """Adds terms by the columns of ``matrix`` (rows by dimensions) to ``total``."""
         order = np.argsort(self.term, kind="stable")
-        out = np.zeros((BUCKETS, matrix.shape[1]))
         if len(order):
             term = self.term[order]
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-            out[term[first]] = np.add.reduceat(matrix[self.row[order]] * self.weight[order, None], first, axis=0)
-        return out
+            total[term[first]] += np.add.reduceat(matrix[self.row[order]] * self.weight[order, None], first, axis=0)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +91,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), n)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int = 2048) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, len(batch), size):
             yield batch.slice(k, size)
@@ -140,17 +138,18 @@ def term_vectors(bags: DataFrame, idf: np.ndarray, dimensions: int = DIMENSIONS,
     width = dimensions + SPARE
     q, _ = np.linalg.qr(np.random.default_rng(42).standard_normal((BUCKETS, width)))
     for _ in range(passes + 1):
+        q = q.astype(np.float32)
 
         def partial(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> np.ndarray:
             total = np.zeros((BUCKETS, width))
             for batch in _parts(batches):
                 term, row = _lists(batch.column("terms"))
                 a = Rows.of(row, term, idf, len(batch))
-                total += a.transposed_times(a.times(q))
+                a.add_transposed_times(a.times(q), total)
             return total
 
         q, values, _ = np.linalg.svd(_summed(bags.select("terms"), partial, BUCKETS, width), full_matrices=False)
-    return q[:, :dimensions]
+    return q[:, :dimensions].astype(np.float32)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
