@@ -21,9 +21,9 @@ DIMENSIONS, SPARE = 48, 16
 #: Passes of subspace iteration over the corpus, and rounds of centroid refinement.
 PASSES, ROUNDS = 2, 4
 #: A sentence speaks for its nearest subject if the cosine is at least CLOSE and MARGIN above the next subject's.
-CLOSE, MARGIN = 0.35, 0.12
-#: A subject with this share of the speaking sentences, and with at least LEAST of them, is one of the document's.
-SHARE, LEAST = 0.3, 2
+CLOSE, MARGIN = 0.5, 0.05
+#: A subject with SHARE of the speaking sentences, if they are at least LEAST, or with MUCH of them is the document's.
+SHARE, LEAST, MUCH = 0.3, 3, 0.45
 #: Labelled documents that seed the centroids, at most.
 MOST_LABELLED = 50_000
 #: Rows of a matrix that shuffle as one.
@@ -252,7 +252,7 @@ def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
             np.add.at(votes, (row[speaks], best[speaks].argmax(axis=1)), 1)
             np.add.at(lean, row, best)
             share = votes / np.maximum(votes.sum(axis=1, keepdims=True), 1)
-            has = (share >= SHARE) & (votes >= LEAST)
+            has = (share >= SHARE) & (votes >= LEAST) | (share >= MUCH)
             bare = ~has.any(axis=1) & (np.bincount(row, minlength=len(batch)) > 0)
             top = np.where(votes.sum(axis=1) > 0, (votes * 1000 + lean).argmax(axis=1), lean.argmax(axis=1))
             has[np.flatnonzero(bare), top[bare]] = True
