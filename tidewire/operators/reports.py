@@ -152,10 +152,10 @@ def monthly(sentences: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Rows by value of ``column`` and their share of all in percent, the shares over one total row."""
+    """Rows by value of ``column`` and their share of all in percent. The total is counted first, so that no window has
+    to bring all values into one task."""
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    everything = Window.partitionBy(F.lit(0))
-    return counted.withColumn("percent", F.col("count") * 100.0 / F.sum("count").over(everything)).orderBy(F.desc("count"), column)
+    return counted.withColumn("percent", F.col("count") * 100.0 / F.lit(df.count())).orderBy(F.desc("count"), column)
 
 
 def top_share(df: DataFrame, column: str, n: int) -> DataFrame:
