@@ -166,3 +166,12 @@ def totals(sentences: DataFrame) -> DataFrame:
     """Sentences and different titles; sentences without a title count as one title."""
     untitled = F.max(F.when(F.col("cleaned_title").isNull(), 1).otherwise(0))
     return sentences.agg(F.count(F.lit(1)).alias("sentences"), (F.count_distinct("cleaned_title") + F.coalesce(untitled, F.lit(0))).alias("titles"))
+
+
+def collection_stats(sentences: DataFrame, n: int = 5) -> DataFrame:
+    """(kind, name, count, percent): all sentences, each label, and the ``n`` most frequent sources."""
+    rows = labelled(sentences)
+    total = rows.agg(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("name"), F.count(F.lit(1)).alias("count"), F.lit(100.0).alias("percent"))
+    named = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("name"), "count", "percent")
+    labels = named(distribution(rows, "sentiment_label"), "label", "sentiment_label")
+    return total.unionByName(labels).unionByName(named(top_share(rows, "source", n), "source", "source"))

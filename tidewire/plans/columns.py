@@ -29,8 +29,22 @@ def _clean_page(spark, sf):
     return table(spark, sf, "pipeline_task1").select("record_id", T.clean_page(F.col("content")).alias("cleaned"))
 
 
+def _boilerplate(spark, sf):
+    """Pages without the sentences of boilerplate words."""
+    return table(spark, sf, "pipeline_task1").select("record_id", T.without_keyword_sentences(F.col("content"), L.NON_ARTICLE + L.NON_ARTICLE_PAGES).alias("kept"))
+
+
+def _exploded(spark, sf):
+    """Sentences of the raw content, one a row, with the number of sentences of their message; null contents vanish."""
+    parts = T.sentences_stream(F.col("content"))
+    found = table(spark, sf, "kafka_schema").select("msg_id", F.size(parts).alias("of"), F.posexplode_outer(parts).alias("number", "sentence"))
+    return found.filter("sentence IS NOT NULL")
+
+
 c = F.col
 QUERIES = {
+    "remove_boilerplate": _boilerplate,
+    "explode_sentences": _exploded,
     "filter_valid_url": lambda spark, sf: table(spark, sf, "kafka_schema").filter(E.has_url(c("url")) & E.valid_url(c("url"))).select("msg_id", "url"),
     "filter_not_null": lambda spark, sf: table(spark, sf, "pipeline_task1").filter("title IS NOT NULL AND content IS NOT NULL").select("record_id", "title"),
     "filter_min_length": lambda spark, sf: table(spark, sf, "kafka_schema").filter(F.char_length("content") >= 20).select("msg_id"),
@@ -71,6 +85,7 @@ _CLEAN = f"regexp_replace({_CLEAN}, '(?i)[^.?!]*\\b(?:{_DOTTED})\\b[^.?!]*[.?!]'
 _CLEAN = f"trim(regexp_replace(regexp_replace({_CLEAN}, '(?i)\\b(?:{T.alternation(L.FAQ)})\\b', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 _PAGE = f"regexp_replace(content, '(?i)[^.?!]*\\b(?:{T.alternation(L.NON_ARTICLE + L.NON_ARTICLE_PAGES, dotted=False)})\\b[^.?!]*[.?!]', '', 'g')"
 _PAGE = f"regexp_replace({_PAGE}, '(?i)[^.?!]*\\b(?:{T.alternation(L.NON_ARTICLE + L.NON_ARTICLE_PAGES, dotted=True)})\\b[^.?!]*[.?!]', '', 'g')"
+_KEPT = _PAGE
 for _s in L.STATEMENTS:
     _PAGE = f"replace({_PAGE}, '{_s}', '')"
 _PAGE = f"regexp_replace({_PAGE}, '(?i)\\b(?:{T.alternation(L.FAQ)})\\b', '', 'g')"
@@ -92,6 +107,10 @@ def _each(expression: str, alias: str) -> str:
 
 
 SQL = {
+    "remove_boilerplate": f"SELECT record_id, {_KEPT} AS kept FROM pipeline_task1",
+    "explode_sentences": """WITH t AS (SELECT msg_id, list_filter(list_transform(string_split(regexp_replace(content, '([.!?])[ \\t\\n\\x0b\\f\\r]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+        lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))), lambda x: length(x) > 10) AS l FROM kafka_schema)
+        SELECT msg_id, len(l)::INTEGER AS of, (unnest(range(len(l))))::INTEGER AS number, unnest(l) AS sentence FROM t""",
     "filter_valid_url": "SELECT msg_id, url FROM kafka_schema WHERE url <> '' AND regexp_matches(url, '^https?://.+')",
     "filter_not_null": "SELECT record_id, title FROM pipeline_task1 WHERE title IS NOT NULL AND content IS NOT NULL",
     "filter_min_length": "SELECT msg_id FROM kafka_schema WHERE length(content) >= 20",

@@ -57,7 +57,16 @@ def _events(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
+#: The stored columns of an enriched sentence, in order.
+STORED = (
+    "publishedAt url cleaned_title cleaned_description source source_domain category word_count people_mentioned organizations_mentioned "
+    "locations_mentioned project_names financial_figures dates_mentioned topic_label sentence Sentiment_Result"
+).split()
+
 QUERIES = {
+    "project_ordered": _s(lambda s: Q.ordered(s, ["sentence_id", *STORED, "no_such_column"])),
+    "article_class": _s(lambda s: G.article_sentiment(s).groupBy("sentiment").agg(F.count(F.lit(1)).alias("articles"))),
+    "source_short_name": _s(lambda s: G.source_nodes(s.withColumn("source", F.lit("Other")))),
     "scan_parquet": lambda spark, sf: table(spark, sf, "kafka_schema").filter("batch_id >= 100").select("msg_id", "batch_id", "source_name"),
     "load_summary": _summary,
     "struct_flatten": _structs,
@@ -121,6 +130,9 @@ def _two(a: str, b: str, left: str, right: str, count: str = "count") -> str:
 
 
 SQL = {
+    "project_ordered": f"SELECT sentence_id, {', '.join(STORED)} FROM {_E}",
+    "article_class": f"SELECT {_CLASS} AS sentiment, count(*) AS articles FROM ({_MEAN}) GROUP BY 1",
+    "source_short_name": f"SELECT DISTINCT trim(source_domain) AS domain, split_part(replace(trim(source_domain), 'www.', ''), '.', 1) AS name FROM {_E} WHERE trim(source_domain) <> ''",
     "scan_parquet": "SELECT msg_id, batch_id, source_name FROM kafka_schema WHERE batch_id >= 100",
     "load_summary": "SELECT count(*) AS rows, 11 AS columns, min(kafka_ts) AS first, max(kafka_ts) AS last FROM kafka_schema",
     "struct_flatten": "SELECT entity_row_id, people_mentioned AS people, organizations_mentioned AS organizations, locations_mentioned AS locations FROM extracted_entities",

@@ -23,14 +23,24 @@ def stream_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return P.sentences(table(spark, sf, "kafka_schema")).select("msg_id", "source", "source_domain", "category", "sentence")
 
 
-def html_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages wrapped as HTML and taken apart again: one paragraph per line, furniture in a dropped tag."""
+def _html(spark: SparkSession, sf: str) -> DataFrame:
+    """(url, html): pages wrapped as HTML, one paragraph per line, furniture in dropped tags; the id stands for the url."""
     clean = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     title = F.concat(F.lit("<html><head><title>"), clean(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><nav>Home</nav>"))
     body = F.concat_ws("", F.transform(F.split("content", "\n"), lambda line: F.concat(F.lit("<p>"), clean(line), F.lit("</p>"))))
     html = F.concat(title, F.coalesce(body, F.lit("")), F.lit("<footer><p>End</p></footer></body></html>"))
-    pages = table(spark, sf, "pipeline_task1").select(F.col("record_id").cast("string").alias("url"), html.alias("html"))
-    found = extract_pages(pages)
+    return table(spark, sf, "pipeline_task1").select(F.col("record_id").cast("string").alias("url"), html.alias("html"))
+
+
+def html_title(spark: SparkSession, sf: str) -> DataFrame:
+    """Page titles by a native expression, where nothing else of the page is needed."""
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return _html(spark, sf).select(F.col("url").cast("bigint").alias("record_id"), F.when(title != "", title).otherwise("No Title Found").alias("title"))
+
+
+def html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The wrapped pages taken apart again."""
+    found = extract_pages(_html(spark, sf))
     return found.select(F.col("url").cast("bigint").alias("record_id"), "title", F.size("paragraphs").alias("paragraphs"))
 
 
@@ -54,6 +64,7 @@ QUERIES = {
     "stream_tumbling": lambda spark, sf: P.tumbling(_events(spark, sf), "source_name"),
     "stream_sliding": lambda spark, sf: P.sliding(_events(spark, sf), "source_name"),
     "stream_sessions": lambda spark, sf: P.sessions(_events(spark, sf), "source_name"),
+    "html_title": html_title,
     "html_extract": html_extract,
     "lang_filter": lang_filter,
     "ml_sentiment": ml_sentiment,
@@ -77,6 +88,7 @@ SQL = {
     "stream_sessions": f"""WITH {_TIMED}, g AS (SELECT *, CASE WHEN moment - lag(moment) OVER (PARTITION BY source_name ORDER BY moment, msg_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY source_name ORDER BY moment, msg_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT min(moment) AS start, max(moment) + INTERVAL 6 HOUR AS "end", source_name, count(*) AS n FROM n GROUP BY source_name, k""",
+    "html_title": "SELECT record_id, coalesce(nullif(trim(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')), ''), 'No Title Found') AS title FROM pipeline_task1",
     "html_extract": """SELECT record_id, coalesce(nullif(trim(title), ''), 'No Title Found') AS title,
         len(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: regexp_matches(x, '\\S')))::INTEGER AS paragraphs FROM pipeline_task1""",
     "lang_filter": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)

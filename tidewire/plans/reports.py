@@ -27,6 +27,9 @@ QUERIES = {
     "r_keyword_sentences": _over(R.keyword_sentences, ["dividend", "trunk line", "court"], 25, "2024-01-01T00:00:00Z", "2024-05-31T23:59:59Z"),
     "r_source_summary": _over(R.source_summary),
     "r_totals": _over(R.totals),
+    "r_total_sentences": _over(lambda s: R.totals(s).select("sentences")),
+    "r_unique_titles": _over(lambda s: R.totals(s).select("titles")),
+    "r_collection_stats": _over(R.collection_stats),
     "r_monthly_distribution": _over(R.monthly, "2024-01-15T00:00:00Z", "2024-06-15T23:59:59Z"),
     "r_sentiment_distribution": lambda spark, sf: R.distribution(R.labelled(table(spark, sf, "enriched_sentences")), "sentiment_label"),
     "r_top_sources": lambda spark, sf: R.top_share(table(spark, sf, "enriched_sentences"), "source", 5),
@@ -77,6 +80,13 @@ SQL = {
         t AS (SELECT source, category AS top_category, n AS top_category_sentences FROM (SELECT source, category, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, category NULLS LAST) AS k FROM l GROUP BY source, category) WHERE k = 1)
         SELECT g.*, {_SHARES}, top_category, top_category_sentences FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source""",
     "r_totals": "SELECT count(*) AS sentences, count(DISTINCT cleaned_title) + max(CASE WHEN cleaned_title IS NULL THEN 1 ELSE 0 END) AS titles FROM enriched_sentences",
+    "r_total_sentences": "SELECT count(*) AS sentences FROM enriched_sentences",
+    "r_unique_titles": "SELECT count(*) AS titles FROM (SELECT DISTINCT cleaned_title FROM enriched_sentences)",
+    "r_collection_stats": f"""WITH {_L}, n AS (SELECT count(*) AS n FROM l),
+        s AS (SELECT source, count(*) AS c FROM l GROUP BY source ORDER BY c DESC, source NULLS FIRST LIMIT 5)
+        SELECT 'total' AS kind, NULL AS name, n AS count, 100.0::DOUBLE AS percent FROM n
+        UNION ALL SELECT 'label', sentiment_label, count(*), count(*) * 100.0::DOUBLE / any_value(n) FROM l, n GROUP BY sentiment_label
+        UNION ALL SELECT 'source', source, c, c * 100.0::DOUBLE / n FROM s, n""",
     "r_monthly_distribution": f"""WITH {_L} SELECT year({_MOMENT})::INTEGER AS year, month({_MOMENT})::INTEGER AS month, sentiment_label, count(*) AS count FROM l
         WHERE {_MOMENT} BETWEEN TIMESTAMP '2024-01-15 00:00:00' AND TIMESTAMP '2024-06-15 23:59:59' GROUP BY ALL""",
     "r_sentiment_distribution": f"WITH {_L} SELECT sentiment_label, count(*) AS count, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS percent FROM l GROUP BY sentiment_label",
