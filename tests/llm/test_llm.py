@@ -347,3 +347,22 @@ def test_query_runs(spark, name):
     from tidewire.llm import queries
 
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_leaks_in_very_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "AT_ONCE", 40)
+    monkeypatch.setattr(leakage, "OVERLAP", 30)
+    words = [f"w{k}x" for k in range(300)]
+    item = " ".join(words[95:120])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [" ".join(words), " ".join(words[:97])]})
+    got = [r for b in leakage._search([(7, item)], 12, 3, 0.5)(iter([batch])) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in got if r["shared_run"] >= 12} == {1} and max(r["shared_run"] for r in got) == 25
+
+
+def test_by_size_keeps_all_rows():
+    texts = ["a" * 10, None, "", "b" * 100, "c", "d" * 30]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+    for most in (1, 25, 1000):
+        parts = list(kernels.by_size(iter([batch]), "t", most))
+        assert [x for p in parts for x in p.column("t").to_pylist()] == texts
+    assert len(list(kernels.by_size(iter([batch]), "t", 1000))) == 1

@@ -209,13 +209,12 @@ def body_lines(pages: DataFrame, scores: Scores, tree: Tree) -> DataFrame:
     """
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 1024) for k in range(0, len(batch), 1024)):
-                lines, page, number = lines_of(part.column("content"))
-                hit = tree.of_rows(features(lines, page, part.column("title"), scores))
-                hit &= ~residue.covered(lines).to_numpy(zero_copy_only=False)
-                ids = part.column("record_id").take(pa.array(page[hit]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[hit], pa.int32()), lines.filter(pa.array(hit))], ["record_id", "line_no", "line"])
+        for part in K.by_size(batches, "content", 2_000_000):
+            lines, page, number = lines_of(part.column("content"))
+            hit = tree.of_rows(features(lines, page, part.column("title"), scores))
+            hit &= ~residue.covered(lines).to_numpy(zero_copy_only=False)
+            ids = part.column("record_id").take(pa.array(page[hit]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number[hit], pa.int32()), lines.filter(pa.array(hit))], ["record_id", "line_no", "line"])
 
     pages = pages.filter(F.col("content").isNotNull()).select("record_id", "title", "content")
     return pages.mapInArrow(classify, "record_id bigint, line_no int, line string")

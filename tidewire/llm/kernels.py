@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of text in ``column``, or of one row that is longer."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        at = 0
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 @dataclass
 class Words:
     """Words (runs of ASCII letters and digits) of some rows, in order: hash and row of each, and the number of rows."""

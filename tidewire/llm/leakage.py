@@ -24,6 +24,8 @@ ITEMS_AT_ONCE = 20_000
 
 #: Words whose windows are hashed at once.
 AT_ONCE = 50_000
+#: Words that the parts of a longer document share: a shared run of up to so many is whole in one of them.
+OVERLAP = 1_000
 
 FOUND = "doc_id bigint, item_id bigint, similarity double, shared_run int"
 
@@ -119,17 +121,19 @@ def _similarity(a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
 
 def _joined(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Documents of a batch, about AT_ONCE words at a time: their ids, the codes of their words one after the other, and
-    the document of each word."""
+    the document of each word. A longer document comes in parts that overlap."""
     docs, parts, size = [], [], 0
     for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
         if len(known) > 1_000_000:
             known.clear()
-        docs.append(doc)
-        parts.append(word_codes(words(text.as_py()), known))
-        size += len(parts[-1])
-        if size >= AT_ONCE:
-            yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            docs, parts, size = [], [], 0
+        codes = word_codes(words(text.as_py()), known)
+        for start in range(0, max(len(codes) - OVERLAP, 1), AT_ONCE):
+            docs.append(doc)
+            parts.append(codes[start : start + AT_ONCE + OVERLAP])
+            size += len(parts[-1])
+            if size >= AT_ONCE:
+                yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                docs, parts, size = [], [], 0
     if docs:
         yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
@@ -193,7 +197,7 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, radius: int
     SimHashes and the blocks of bits find all fingerprints within the radius, so no run of ``span`` words is missed.
     The corpus is read once per ITEMS_AT_ONCE items and never shuffled; the items, small held-out material, travel to
     the tasks in slices of that bounded number. Null, empty and shorter texts have no windows and give no rows; repeated
-    items or documents each count. Other columns are ignored.
+    items each count. Other columns are ignored.
     """
     documents, items = documents.select("doc_id", "text"), items.select("item_id", "text")
     slices: list[list[tuple[int, str | None]]] = [[]]
@@ -205,9 +209,10 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, radius: int
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    best = (F.max(c).alias(c) for c in ("similarity", "shared_run"))
+    return out.groupBy("doc_id", "item_id").agg(*best)
 
 
 def shared_runs(found: DataFrame, least: int = SPAN) -> DataFrame:
     """(doc_id, item_id) of documents and items that share a run of at least ``least`` words."""
-    return found.filter(F.col("shared_run") >= least).select("doc_id", "item_id").distinct()
+    return found.filter(F.col("shared_run") >= least).select("doc_id", "item_id")

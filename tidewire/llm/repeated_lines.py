@@ -73,14 +73,14 @@ def _batch_buckets(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndar
 
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.by_size(batches, "content"):
         _, row, bucket = _batch_buckets(batch)
         weight = 1.0 / batch.column("need").to_numpy()[row]
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(weight)], ["bucket", "weight"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.by_size(batches, "content"):
         lines, row, bucket = _batch_buckets(batch)
         text = normal_lines(lines)
         keep = pc.not_equal(text, "")

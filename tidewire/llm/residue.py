@@ -130,7 +130,7 @@ def sentence_codes(sentences: pa.Array, words: K.Words | None = None) -> np.ndar
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.by_size(batches, "content"):
         sentences, row = _sentences(batch.column("content"))
         words = K.word_codes(*K.text_bytes(sentences))
         code = sentence_codes(sentences, words)
@@ -195,7 +195,7 @@ def residue(rows: DataFrame, canned: DataFrame, key: str = "row_id") -> DataFram
     codes = canned_codes(canned)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.by_size(batches, "content"):
             hit = holds_residue(batch.column("content"), codes)
             yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(hit))], [key])
 

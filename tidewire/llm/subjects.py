@@ -45,7 +45,7 @@ def bag_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.by_size(batches, "text"):
         row, sentence, term = bag_of(batch.column("text"))
         ends = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (term, sentence)]
