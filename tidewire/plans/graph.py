@@ -155,7 +155,7 @@ SQL = {
         avg(Sentiment_Result) AS sentiment, 'post_' || sha256(url) AS post_id FROM {_E} WHERE url IS NOT NULL GROUP BY url""",
     "g_source_nodes": f"SELECT trim(source_domain) AS domain, max(CASE WHEN source = 'Other' THEN split_part(replace(trim(source_domain), 'www.', ''), '.', 1) ELSE trim(source) END) AS name FROM {_E} WHERE trim(source_domain) <> '' GROUP BY 1",
     **{f"g_edges_{kind}": sql for kind, sql in _EDGE.items()},
-    "edge_integrity": "SELECT 0 AS dangling",
+    "edge_integrity": "SELECT count(*) AS dangling FROM (" + " UNION ALL ".join(f"SELECT url FROM ({v})" for v in _EDGE.values()) + f") WHERE url NOT IN (SELECT url FROM {_E} WHERE url IS NOT NULL)",
     "g_edge_counts": "SELECT type, count(*) AS edges FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, url, name FROM ({v})" for k, v in _EDGE.items()) + ") GROUP BY type",
     "g_post_count_by_sentiment": _deg("sentiment", "sentiment", "posts"),
     "g_top_people": _deg("person", "person", "mentions", 15),
