@@ -19,8 +19,9 @@ def _sentences(of):
     """One row per sentence; rows without any vanish."""
 
     def query(spark, sf):
-        parts = F.explode_outer(of(T.clean_text(F.col("content")))).alias("sentence")  # explode would evaluate them twice, to filter empty lists
-        return table(spark, sf, "kafka_schema").select("msg_id", parts).filter("sentence IS NOT NULL")
+        cleaned = table(spark, sf, "kafka_schema").select("msg_id", T.clean_text(F.col("content")).alias("cleaned"))  # once, before the split
+        parts = F.explode_outer(of(F.col("cleaned"))).alias("sentence")  # explode would evaluate them twice, to filter empty lists
+        return cleaned.select("msg_id", parts).filter("sentence IS NOT NULL")
 
     return query
 
