@@ -207,6 +207,17 @@ def test_mentions(spark):
     assert cooccurrence.together(cooccurrence.mentions(df.limit(0))).count() == 0
 
 
+def test_all_pairs_are_counted_however_seldom(spark):
+    from tests.oracle import SF, check
+    from tidewire.llm import queries
+
+    check(spark, queries.QUERIES["p5_all_pairs"], queries.SQL["p5_all_pairs"])
+    got = queries.QUERIES["p5_all_pairs"](spark, SF)
+    assert got.filter("n_ab = 1").count() > 0
+    frequent = got.filter("n_ab >= 5 and n_ab * 500 >= n_records").select("item_a", "item_b", "n_a", "n_b", "n_ab", "n_records")
+    assert rows_of(frequent) == rows_of(queries.QUERIES["p5_pairs"](spark, SF).select(*frequent.columns))
+
+
 # 7. Body text
 
 

@@ -70,6 +70,11 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccurrence.together(cooccurrence.mentions(table(spark, sf, "extracted_entities")))
 
 
+def p5_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two items that occur together, however seldom; ``p5_pairs`` has those of the thresholds of p5_found."""
+    return cooccurrence.together(cooccurrence.mentions(table(spark, sf, "extracted_entities")), least=1, least_share=0.0)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pipeline_task1")
     return body_text.body_lines(pages, *body_text.train(spark)).select("record_id", "line_no")
@@ -129,6 +134,7 @@ QUERIES = {
     "p4_pages": p4_pages,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p5_all_pairs": p5_all_pairs,
     "p7_found": p7_found,
     "p7_bodies": p7_bodies,
     "p8_ids": p8_ids,
@@ -153,6 +159,8 @@ ab AS (SELECT x.item AS item_a, y.item AS item_b, count(*)::BIGINT AS n_ab FROM
 pairs AS (SELECT item_a, item_b, ca.n AS n_a, cb.n AS n_b, n_ab, n_records FROM ab JOIN c ca ON ca.item = item_a JOIN c cb ON cb.item = item_b, total
   WHERE n_ab >= 5 AND n_ab * 500 >= n_records)"""
 
+_ALL_PAIRS = _PAIRS.replace("\n  WHERE n_ab >= 5 AND n_ab * 500 >= n_records", "")
+
 _LINES = r"""
 lines AS (
   SELECT record_id, source_name, url, k, raw,
@@ -183,4 +191,6 @@ SQL = {
     "p5_found": f"WITH {_PAIRS} SELECT item_a, item_b FROM pairs WHERE n_ab * n_records >= 4 * n_a * n_b",
     "p5_pairs": f"""WITH {_PAIRS} SELECT *, n_ab::DOUBLE * n_records / (n_a::DOUBLE * n_b) AS lift,
         ln(((n_ab + 0.5::DOUBLE) * (n_records - n_a - n_b + n_ab + 0.5::DOUBLE)) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE))) AS log_odds FROM pairs""",
+    "p5_all_pairs": f"""WITH {_ALL_PAIRS} SELECT *, n_ab::DOUBLE * n_records / (n_a::DOUBLE * n_b) AS lift,
+        ln(((n_ab + 0.5::DOUBLE) * (n_records - n_a - n_b + n_ab + 0.5::DOUBLE)) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE))) AS log_odds FROM pairs""",
 }
