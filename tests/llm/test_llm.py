@@ -79,6 +79,28 @@ def test_jaro_winkler():
     assert names.one_slip("abcd", "abdc") and names.one_slip("abc", "abbc") and not names.one_slip("abc", "cba")
 
 
+def one_slip_words(word):
+    """Every word that ``one_slip`` takes for ``word``, with a few letters to add or change to."""
+    out = {word[:k] + word[k + 1 :] for k in range(len(word))} | {word[:k] + word[k : k + 2][::-1] + word[k + 2 :] for k in range(len(word) - 1)}
+    for k in range(len(word) + 1):
+        out |= {word[:k] + c + word[k:] for c in "abdgjklmrsvz"} | {word[:k] + c + word[k + 1 :] for c in "abdgjklmrsvz"}
+    return {w for w in out if len(w) >= 4 and w != word and names.one_slip(w, word)}
+
+
+@pytest.mark.parametrize("kind,before,after", [("person", "Anthony ", ""), ("person", "", " Lee"), ("organization", "", " Plantations Berhad"), ("organization", "Harbour ", " Svcs")])
+def test_every_slip_meets_in_a_block(kind, before, after):
+    for word in ("vukaibujir", "josewezal", "gimukedir", "vojabugin", "bafovezu", "sinaizojas"):
+        keys = names.blocks(kind, names.parse(kind, before + word + after))
+        lost = [w for w in one_slip_words(word) if not keys & names.blocks(kind, names.parse(kind, before + w + after))]
+        assert not lost
+
+
+def test_a_slip_beside_an_abbreviation_meets_in_a_block():
+    for a, b in (("Kadetuhas Offshore Services", "Kadetuhas Ofshore Svcs"), ("Kadetuhas Offshore", "Kadetuhas Iffshore"), ("Bafovezu Offshore Services", "Basovezu Offshore Svcs")):
+        x, y = names.parse("organization", a), names.parse("organization", b)
+        assert names.blocks("organization", x) & names.blocks("organization", y)
+
+
 def test_groups(spark):
     people = ["Anthony Wabogadus", "A. Wabogadus", "\tWabogadus, Tony ", "Andrew Zed", "Alice Zed", "Zed, A.", "", None, "Anthony Wabogadus"]
     firms = ["United Jeposorin Harbour Dredging Authority", "UJHDA", "U.J.H.D.A.", "Lone Firm"]
