@@ -111,6 +111,15 @@ def test_groups(spark):
     assert names.groups(names.spellings(df.limit(0))).count() == 0
 
 
+def test_reordered_organisations_and_writings_of_one_short_form(spark):
+    firms = ["Jaimagibi Steel Works Berhad", "Works Jaimagibi Stel Bhd", "I.T.F.Q.B.", "ITFQB", "Steel Water Works Berhad"]
+    people = ["A Bafovezu", "A. Bafovezu", "Zed, A.", "A. Zed", "Andrew Zed", "Alice Zed"]
+    df = spark.createDataFrame([(people, firms)], "people_mentioned array<string>, organizations_mentioned array<string>")
+    got = rows_of(names.variant_pairs(names.groups(names.spellings(df))))
+    pairs = [("organization", *sorted(firms[:2])), ("organization", *sorted(firms[2:4])), ("person", *people[:2]), ("person", "A. Zed", "Zed, A.")]
+    assert got == sorted(pairs)
+
+
 # 2. Residue
 
 RESIDUE = ["{{ title }}", "Text with ${city} inside.", "By [REPORTER NAME] in town.", "%HEADLINE% goes", "(null)", "Lorem ipsum dolor sit amet.", "test test asdf qwerty", "404 Not Found", "Error code: X1", "Please enable JavaScript in your browser to continue.", "Your browser is out of date or blocks scripts.", "Dummy article body.", "Access denied", "Site: not found", "<h1>Bad Gateway</h1>", "TKTK 00.00 XXXXX", "The [[company]] said", "cut off at {{na"]
