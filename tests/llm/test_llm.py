@@ -146,6 +146,19 @@ def test_canned_responses_are_found_by_host_evidence(spark):
     assert rows_of(residue.residue(df, residue.repeated_responses(df), "msg_id")) == [(k,) for k in range(20)]
 
 
+def test_canned_responses_count_addresses_of_both_tables(spark):
+    kinds = "id bigint, content string, title string, url string, description string"
+    row = lambda k, text, url: (k, text, f"Budget number {url} passed", f"http://h/{url}/budget-passed-{url}", None)
+    again = [row(k, "Quux panel waits here.", min(k, 1)) for k in range(30)]
+    here = [row(k, "Zorb flange is resting now.", k) for k in range(100, 106)]
+    there = [row(k, "Zorb flange is resting now.", k) for k in range(200, 206)]
+    messages, pages = spark.createDataFrame(again + here, kinds), spark.createDataFrame(there, kinds).drop("description")
+    canned = residue.repeated_responses(messages, pages)
+    assert rows_of(residue.residue(messages, canned, "id")) == [(r[0],) for r in here]
+    assert rows_of(residue.residue(pages, canned, "id")) == [(r[0],) for r in there]
+    assert residue.repeated_responses(messages).count() == 0
+
+
 # 3. Truncation
 
 

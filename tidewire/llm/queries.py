@@ -23,7 +23,7 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
 def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(msg_id) of messages and (record_id) of pages with residue."""
     messages, pages = table(spark, sf, "kafka_schema"), table(spark, sf, "pipeline_task1")
-    canned = residue.repeated_responses(messages)
+    canned = residue.repeated_responses(messages, pages)
     return residue.residue(messages, canned, "msg_id"), residue.residue(pages, canned, "record_id")
 
 
@@ -42,7 +42,7 @@ def p2_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _truncated(spark: SparkSession, sf: str) -> DataFrame:
     messages = table(spark, sf, "kafka_schema")
-    return truncation.truncated(messages, residue.repeated_responses(messages))
+    return truncation.truncated(messages, residue.repeated_responses(messages, table(spark, sf, "pipeline_task1")))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,7 @@ ERRORS = "|".join(
     ]
 )
 
-#: Records with fewer words than this on average are low in information, in the search for repeated responses.
+#: A repeated response is found under at least so many different addresses.
 LEAST_URLS = 12
 #: Of the records with a repeated response, at most this share may have words of their title or address elsewhere.
 MOST_ON_TOPIC = 0.04
@@ -149,29 +150,34 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COMMON = np.array([K.word_code(w) for w in "a about after an and any are as at be been but by for from had has have he her his in into is it its more no not of on one or over said she so than that the their them then there they this to up was were what when which who will with 0 https http www com example test html".split()])
 
 
-def repeated_responses(messages: DataFrame, least_urls: int = LEAST_URLS, most_on_topic: float = MOST_ON_TOPIC) -> DataFrame:
+def repeated_responses(*tables: DataFrame, least_urls: int = LEAST_URLS, most_on_topic: float = MOST_ON_TOPIC) -> DataFrame:
     """(code): sentences that answer for many addresses in records that say nothing about them.
 
-    Every sentence of every record counts for its hash: the records, and those whose content has words of the record's
-    title, address slug or description. A sentence of at least ``least_urls`` records of which at most the
-    share ``most_on_topic`` is on topic is a canned response of a host. One map-side combined count; the few codes found
-    are cut to the shared folder.
+    Every sentence of every record of ``tables`` counts for its hash: its different addresses, and the records whose
+    content has words of their title, address slug or description (which a table may lack). A sentence under at least
+    ``least_urls`` addresses, in records of which at most the share ``most_on_topic`` is on topic, is a canned response.
+    A record delivered again adds no address. Two map-side combined counts, by sentence and address and then by
+    sentence; the few codes found are cut to the shared folder.
     """
     slug = F.regexp_extract("url", r"([^/]*)/?$", 1)
-    told = F.concat_ws(" ", "title", slug, "description")
+    parts = []
+    for rows in tables:
+        told = F.concat_ws(" ", "title", slug, *[c for c in ("description",) if c in rows.columns])
+        parts.append(rows.filter(F.col("content") != "").select("content", told.alias("told"), F.xxhash64("url").alias("link")))
     counted = (
-        messages.filter(F.col("content") != "")
-        .select("content", told.alias("told"), F.xxhash64("url").alias("link"))
+        functools.reduce(DataFrame.unionAll, parts)
         .mapInArrow(_evidence, SENTENCES)
+        .groupBy("code", "link")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("on_topic").alias("on_topic"))
         .groupBy("code")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("on_topic").alias("on_topic"), F.min("link").alias("a"), F.max("link").alias("b"))
+        .agg(F.count(F.lit(1)).alias("urls"), F.sum("n").alias("n"), F.sum("on_topic").alias("on_topic"))
     )
-    canned = (F.col("n") >= least_urls) & (F.col("a") != F.col("b")) & (F.col("on_topic") <= F.col("n") * most_on_topic)
+    canned = (F.col("urls") >= least_urls) & (F.col("on_topic") <= F.col("n") * most_on_topic)
     return cut(counted.filter(canned).select("code"))
 
 
 def canned_codes(canned: DataFrame) -> np.ndarray:
-    """The codes of ``canned`` for use in tasks. Each stands for at least LEAST_URLS records of one template, so their
+    """The codes of ``canned`` for use in tasks. Each stands for at least LEAST_URLS addresses of one template, so their
     number is that of templates, not of rows; it is checked to be at most a million."""
     if canned.count() > 1_000_000:
         raise ValueError("over a million canned responses: the topic evidence doesn't fit these records")
