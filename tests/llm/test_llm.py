@@ -290,6 +290,38 @@ def test_body_edges(spark, classifier):
     assert body_text.body_texts(df.limit(0), *classifier).count() == 0
 
 
+PAGE = [
+    "We use cookies to give you the best experience on our site.", "Home > Business > Shipping", "Harbour board raises toll for lorries", "by Farid Waibagaifais, Selandar Daily",
+    "The harbour board raised the toll for lorries by a tenth on Monday, after two years without a change, its chairman said.", "",
+    "Hauliers said they would pass the cost on to their customers before the end of the month, and asked for a later start.", " \t",
+    "READ MORE: Ferry operators ask for lower fees", "Share this article", "reader17572: Why no word on the northern quay?", "© 2024 Selandar Daily. All rights reserved.",
+]
+PARAGRAPHS = {4, 6}
+
+
+def test_p7_found_gives_the_lines_outside_the_body(spark, tmp_path):
+    """The registered query on a page written by hand: furniture comes, paragraphs and white space don't."""
+    from tidewire.llm import queries
+
+    rows = [(k, PAGE[2], "\n".join(PAGE)) for k in (7, 8)] + [(9, None, None), (10, "t", ""), (11, "t", " \n\t\n")]
+    spark.createDataFrame(rows, "record_id bigint, title string, content string").withColumn("line_no", F.lit(5)).write.parquet(str(tmp_path / "pipeline_task1.parquet"))
+    outside = {k for k, line in enumerate(PAGE) if line.strip()} - PARAGRAPHS
+    got = rows_of(queries.QUERIES["p7_found"](spark, str(tmp_path)))
+    assert got == sorted((page, k) for page in (7, 8) for k in outside)
+    bodies = {r.record_id: r.body for r in queries.QUERIES["p7_bodies"](spark, str(tmp_path)).collect()}
+    assert bodies == {page: "\n".join(PAGE[k] for k in sorted(PARAGRAPHS)) for page in (7, 8)}
+
+
+def test_p7_lines_are_inside_or_outside(spark, classifier):
+    from tests.oracle import SF
+
+    pages = spark.read.parquet(f"{SF}/pipeline_task1.parquet")
+    inside, outside = body_text.body_lines(pages, *classifier), body_text.other_lines(pages, *classifier)
+    assert inside.join(outside, ["record_id", "line_no"]).count() == 0
+    lines = pages.select("record_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
+    assert rows_of(inside.unionAll(outside).select("record_id", "line_no")) == rows_of(lines.select("record_id", "line_no"))
+
+
 # 8. Tokens
 
 HARD = ["a" * 3000, " " * 2000, " " * 2000 + "x", "1" * 3000, "." * 2000 + "!" * 50, "ு" * 1000, "😀" * 1500, "don't we'll I've " * 200, "\n\n\t  " * 400, "日本語" * 800 + "abc", "<|endoftext|>" * 50]

@@ -20,7 +20,7 @@ from tidewire.llm import residue
 
 #: Pages of the labelled table that train the classifier, at most.
 MOST_PAGES = 1_000
-DEPTH = 12
+DEPTH = 8
 #: Signs between links of a menu or a trail.
 LINKS = r"[|>»›·•/]|\s[-–]\s|\S\s{2,}\S"
 TERMINAL = r"[.!?][\"'”’)]*\s*$"
@@ -196,23 +196,23 @@ def train(spark: SparkSession, pages: list[dict] | None = None, most: int = MOST
         x[out] = features(lines, page, titles, scores)[out]
     rows = [(float(y), [float(v) for v in r]) for y, r in zip(body, x, strict=True)]
     table = spark.createDataFrame(rows, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=2, maxBins=128, seed=42).fit(table.coalesce(1))
+    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=5, maxBins=128, seed=42).fit(table.coalesce(1))
     return Scores.of(lines, body), Tree.of(model)
 
 
-def body_lines(pages: DataFrame, scores: Scores, tree: Tree) -> DataFrame:
-    """(record_id, line_no, line): the lines of each page's body, numbered from 0 as in ``content``.
+def _classified(batches: Iterator[pa.RecordBatch], scores: Scores, tree: Tree) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of pages with their lines that have something to read, the page and number of each, and whether it is body."""
+    for part in K.by_size(batches, "content", 2_000_000):
+        lines, page, number = lines_of(part.column("content"))
+        body = tree.of_rows(features(lines, page, part.column("title"), scores))
+        body &= ~residue.covered(lines).to_numpy(zero_copy_only=False)
+        yield part, lines, page, number, body
 
-    Features of a line come from it and its neighbours on the page, so pages are classified where they are read,
-    without a shuffle. Lines made only of template residue are never body. Null and blank contents have no lines, lines of white space are never body, a null title is no
-    line. Pages repeated under other ids each count; other columns are ignored.
-    """
 
+def _lines(pages: DataFrame, scores: Scores, tree: Tree, body: bool) -> DataFrame:
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.by_size(batches, "content", 2_000_000):
-            lines, page, number = lines_of(part.column("content"))
-            hit = tree.of_rows(features(lines, page, part.column("title"), scores))
-            hit &= ~residue.covered(lines).to_numpy(zero_copy_only=False)
+        for part, lines, page, number, inside in _classified(batches, scores, tree):
+            hit = inside if body else ~inside
             ids = part.column("record_id").take(pa.array(page[hit]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(number[hit], pa.int32()), lines.filter(pa.array(hit))], ["record_id", "line_no", "line"])
 
@@ -220,8 +220,35 @@ def body_lines(pages: DataFrame, scores: Scores, tree: Tree) -> DataFrame:
     return pages.mapInArrow(classify, "record_id bigint, line_no int, line string")
 
 
+def body_lines(pages: DataFrame, scores: Scores, tree: Tree) -> DataFrame:
+    """(record_id, line_no, line): the lines of each page's body, numbered from 0 as in ``content``.
+
+    Features of a line come from it and its neighbours on the page, so pages are classified where they are read,
+    without a shuffle. Lines made only of template residue are never body. Null and blank contents have no lines, lines
+    of white space are never body, a null title is no line. Pages repeated under other ids each count; other columns
+    are ignored.
+    """
+    return _lines(pages, scores, tree, True)
+
+
+def other_lines(pages: DataFrame, scores: Scores, tree: Tree) -> DataFrame:
+    """(record_id, line_no, line): the lines with something to read that ``body_lines`` doesn't give, so that every line
+    of a page but those of white space alone is in one of the two."""
+    return _lines(pages, scores, tree, False)
+
+
 def body_texts(pages: DataFrame, scores: Scores, tree: Tree) -> DataFrame:
-    """(record_id, body): the body of each page as one text; pages without any body line are left out."""
-    lines = body_lines(pages, scores, tree)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    return lines.groupBy("record_id").agg(F.array_join(parts, "\n").alias("body"))
+    """(record_id, body): the body of each page as one text; pages without any body line are left out.
+
+    A page is whole where it is read, so its lines are put together there and nothing is shuffled.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lines, page, _, inside in _classified(batches, scores, tree):
+            ends = np.searchsorted(page[inside], np.arange(len(part) + 1))
+            body = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines.filter(pa.array(inside)).cast(pa.string())), "\n")
+            some = pa.array(np.diff(ends) > 0)
+            yield pa.RecordBatch.from_arrays([part.column("record_id").filter(some), body.filter(some)], ["record_id", "body"])
+
+    pages = pages.filter(F.col("content").isNotNull()).select("record_id", "title", "content")
+    return pages.mapInArrow(whole, "record_id bigint, body string")

@@ -76,8 +76,9 @@ def p5_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines outside the article body; ``p7_bodies`` gives what is inside."""
     pages = table(spark, sf, "pipeline_task1")
-    return body_text.body_lines(pages, *body_text.train(spark)).select("record_id", "line_no")
+    return body_text.other_lines(pages, *body_text.train(spark)).select("record_id", "line_no")
 
 
 def p7_bodies(spark: SparkSession, sf: str) -> DataFrame:
