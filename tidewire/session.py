@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,17 @@ def get_spark(app: str = "tidewire", master: str | None = None, **conf: str) ->
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a temporary folder is used.
+    Only where that is unset in a local session, as in tests, a temporary folder is used; on a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidewire-checkpoint-")
+        if known.isDefined():
+            return known.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewire-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -39,3 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, parted by column ``by``: computed once, compressed, and
+    readable part by part."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/tidewire-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
