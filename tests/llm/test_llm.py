@@ -35,6 +35,14 @@ def test_word_codes_equal_words(texts):
     assert len(set(by.values())) == len(by)
 
 
+def test_words_of_any_script():
+    texts = ["Café 12 au-lait", "CAFE\u0301 7 AU LAIT", "Привет, мир!", "привет мир", "日本", "日 本", "plain words", None, "“Quoted” — dash"]
+    words = kernels.words(pa.array(texts))
+    rows = [words.code[words.row == k].tolist() for k in range(len(texts))]
+    assert rows[0] == rows[1] and len(rows[0]) == 4 and rows[2] == rows[3] and len(rows[2]) == 2 and rows[4] == rows[5] and len(rows[4]) == 2
+    assert rows[6] == kernels.word_codes(*kernels.text_bytes(pa.array(["plain words"]))).code.tolist() and rows[7] == [] and len(rows[8]) == 2
+
+
 def test_min_hashes_estimate_similarity():
     rng = random.Random(1)
     base = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
@@ -132,31 +140,55 @@ def test_residue_detectors():
     assert residue.covered(pa.array(["{{a}} - ${b}", "By {{a}} in town today.", "Dummy article body. Text goes here.", "", None, "Plain text."])).to_pylist() == [True, False, True, False, False, False]
 
 
+RECORD = "id bigint, content string, title string, url string, description string"
+
+
 def test_residue_rows(spark):
-    df = spark.createDataFrame([(k, t, "t", "u", None) for k, t in enumerate(RESIDUE + CLEAN)], "msg_id bigint, content string, title string, url string, description string")
-    canned = residue.repeated_responses(df)
-    assert rows_of(residue.residue(df, canned, "msg_id")) == [(k,) for k in range(len(RESIDUE))]
-    assert residue.residue(df.limit(0), canned, "msg_id").count() == 0
+    df = spark.createDataFrame([(k, t, "t", "u", None) for k, t in enumerate(RESIDUE + CLEAN)], RECORD).withColumn("code", F.lit("clash")).withColumn("hit", F.lit(1))
+    found = residue.responses(df)
+    want = [(k,) for k in range(len(RESIDUE))]
+    assert rows_of(residue.residue(df, found, "id")) == want
+    assert rows_of(residue.residue(df, found, "id", most=-1)) == want  # joined, as beyond a million responses
+    kept = [(k,) for k in range(len(RESIDUE), len(RESIDUE + CLEAN))]
+    assert rows_of(residue.without_residue(df, found, "id").select("id")) == kept and rows_of(residue.without_residue(df, found, "id", most=-1).select("id")) == kept
+    assert residue.residue(df.limit(0), found, "id").count() == 0 and residue.responses(df.limit(0)).count() == 0
+
+
+def article(k, host, extra="", short=False):
+    """A record on its topic, with words of its title."""
+    rest = "" if short else " The members spoke for a long time about roads, schools, water, the price of rice, new ferries and other matters of the year, and then they went home by the last boat of the evening."
+    return (k, f"The budget of ward {k} passed in the second round. {extra}{rest}", f"Budget number {k} passed", f"http://{host}/{k}/budget-passed-{k}", None)
 
 
-def test_canned_responses_are_found_by_host_evidence(spark):
-    odd = [(k, "Zorb flange is resting now.", f"Budget number {k} passed", f"http://h/{k}/budget-passed-{k}", None) for k in range(20)]
-    real = [(k + 20, f"Common words follow. The budget passed in round {k}.", f"Budget passed {k}", f"http://h/{k}/x", None) for k in range(40)]
-    df = spark.createDataFrame(odd + real, "msg_id bigint, content string, title string, url string, description string")
-    assert rows_of(residue.residue(df, residue.repeated_responses(df), "msg_id")) == [(k,) for k in range(20)]
+def canned(k, host, text):
+    return (k, text, f"Budget number {k} passed", f"http://{host}/{k}/budget-passed-{k}", None)
 
 
-def test_canned_responses_count_addresses_of_both_tables(spark):
-    kinds = "id bigint, content string, title string, url string, description string"
-    row = lambda k, text, url: (k, text, f"Budget number {url} passed", f"http://h/{url}/budget-passed-{url}", None)
-    again = [row(k, "Quux panel waits here.", min(k, 1)) for k in range(30)]
-    here = [row(k, "Zorb flange is resting now.", k) for k in range(100, 106)]
-    there = [row(k, "Zorb flange is resting now.", k) for k in range(200, 206)]
-    messages, pages = spark.createDataFrame(again + here, kinds), spark.createDataFrame(there, kinds).drop("description")
-    canned = residue.repeated_responses(messages, pages)
-    assert rows_of(residue.residue(messages, canned, "id")) == [(r[0],) for r in here]
-    assert rows_of(residue.residue(pages, canned, "id")) == [(r[0],) for r in there]
-    assert residue.repeated_responses(messages).count() == 0
+def test_canned_responses_are_found_by_the_evidence_of_hosts(spark):
+    """A sentence that no detector knows: on two hosts, in both tables, in records that say nothing of their address."""
+    odd = [canned(k, "ab.example" if k % 2 else "www.cd.example", "Zorb flange is resting now.") for k in range(12)]
+    real = [article(k + 100, "ab.example" if k % 2 else "cd.example") for k in range(200)]
+    messages, pages = spark.createDataFrame(odd[:6] + real, RECORD), spark.createDataFrame(odd[6:] + real, RECORD).drop("description")
+    found = residue.responses(messages, pages)
+    assert rows_of(residue.residue(messages, found, "id", detectors=False)) == [(k,) for k in range(6)]
+    assert rows_of(residue.residue(pages, found, "id")) == [(k,) for k in range(6, 12)]
+
+
+def test_one_address_delivered_again_is_no_evidence(spark):
+    again = [canned(k % 2, "ab.example", "Quux panel waits here.") for k in range(30)]
+    df = spark.createDataFrame(again + [article(k + 100, "ab.example") for k in range(100)], RECORD)
+    assert residue.responses(df).count() == 0
+
+
+def test_sentences_of_articles_are_no_responses(spark):
+    """Sentences that many articles share, and a message that articles tell of, stay; one that replaces articles goes."""
+    told = [article(k, f"h{k % 5}.example", "The portal said too many requests came in. The talks go on.") for k in range(60)]
+    gone = [canned(k + 1000, f"h{k % 5}.example", "Too many requests came from this place.") for k in range(10)]
+    df = spark.createDataFrame(told + gone, RECORD)
+    found = residue.responses(df)
+    assert {r.canned for r in found.collect()} == {True, False}
+    for most in (residue.MOST_CODES, -1):
+        assert rows_of(residue.residue(df, found, "id", most=most)) == [(k + 1000,) for k in range(10)]
 
 
 # 3. Truncation
@@ -170,14 +202,43 @@ def test_truncated(spark):
         (5, "t", "All is fine.", None), (6, "t", "Ends with &am", None), (7, "t", "What was it for? Nobody kn", None), (8, None, None, "  "), (9, "t", "{{residue}} cut of", None), (10, "t", '"We are done," he said. "Yes."', None),
     ]
     df = spark.createDataFrame([(i, t, c, d, f"u{i}", "s") for i, t, c, d in rows + filler], "msg_id bigint, title string, content string, description string, url string, source_name string")
-    canned = residue.repeated_responses(df)
+    canned = residue.responses(df)
     got = truncation.truncated(df, canned)
     assert {(r.msg_id, r.field_name) for r in got.collect()} == {(1, "description"), (2, "content"), (3, "content"), (4, "content"), (6, "content"), (7, "content")}
     rates = {r.field_name: (r.n_values, r.n_cut) for r in truncation.rates(df, got).collect()}
     assert rates == {"content": (39, 5), "description": (2, 1)}
+    assert rows_of(truncation.truncated(df, canned, most=-1)) == rows_of(got)  # residue taken out by a join
     assert truncation.truncated(df.limit(0), canned).count() == 0
 
 
+INTRO = " ".join(f"Paragraph {w} of the long report lists what the {w} office spent on its own {w} buildings." for w in "north south east west upper lower inner outer first last".split())
+STORY = INTRO + " The board of the harbour met on Monday in the old town hall and raised the budget for the works after a long vote by all its {} members, who had asked for a report on the cost of the {} quay and the new ferry line since the spring of last year."
+
+
+def test_alignment_of_near_copies():
+    whole = STORY.format(12, "northern")
+    cut_off = whole[: whole.index("since the") + len("since the sp")]
+    assert truncation.ends_early(cut_off, whole) == (True, True) and truncation.ends_early(cut_off[: -len(" sp")], whole) == (True, False)
+    assert truncation.ends_early(cut_off.replace("Monday", "Tuesday").replace("old", "new"), whole) == (True, True)  # words changed far from the end
+    assert truncation.ends_early(cut_off.replace("ferry", "boat"), whole) == (True, True)  # and near it
+    assert truncation.ends_early(cut_off, STORY.format(7, "northern")) == (True, True)  # numbers are equal
+    assert truncation.ends_early(whole, whole) == (False, False) and truncation.ends_early(cut_off, cut_off + "\nNext line") == (False, False)
+    assert truncation.ends_early(whole[:600], whole) == (False, False)  # too little of it for 0.8
+    assert truncation.ends_early("", whole) == (False, False) and truncation.ends_early("a b", "a b c") == (False, False)
+
+
+def test_copies_are_found_beside_longer_revisions_and_in_hot_families(spark):
+    """A cut value whose bucket's longest text is another revision, among many texts that differ in numbers alone."""
+    whole = STORY.format(12, "northern")
+    cut_off = whole[: whole.index("since the") + len("since the")]
+    longer = whole + " " + " ".join(f"Line {k} of the later revision says more about it." for k in range(2))
+    family = [(k, "t", STORY.format(k, "northern"), None, f"u{k}", "s") for k in range(100, 400)]
+    rows = [(1, "t", cut_off.replace("Monday", "Friday"), None, "u1", "s"), (2, "t", whole, None, "u2", "s"), (3, "t", longer, None, "u3", "s"), *family]
+    df = spark.createDataFrame(rows, "msg_id bigint, title string, content string, description string, url string, source_name string").withColumn("kind", F.lit(9)).withColumn("h", F.lit("clash"))
+    got = truncation.truncated(df, residue.responses(df))
+    assert [(r.msg_id, r.field_name, r.evidence) for r in got.collect()] == [(1, "content", "copy")]
+
+
 # 4. Repeated lines
 
 

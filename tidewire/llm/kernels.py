@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -20,6 +21,11 @@ for _c in range(256):
     if chr(_c).isascii() and chr(_c).isalnum():
         _FORM[_c] = _DIGITS if chr(_c).isdigit() else ord(chr(_c).lower())
 
+# The same with every byte beyond ASCII in words, for texts that ``words`` has folded.
+_WIDE = np.where(np.arange(256) < 128, _FORM, np.arange(256)).astype(np.uint8)
+#: Scripts written without spaces, whose letters count as words.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+
 _powers = np.ones((2, 1), np.uint64)
 
 
@@ -68,17 +74,30 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_00
 
 @dataclass
 class Words:
-    """Words (runs of ASCII letters and digits) of some rows, in order: hash and row of each, and the number of rows."""
+    """Words of some rows, in order: hash and row of each, and the number of rows."""
 
     code: np.ndarray
     row: np.ndarray
     rows: int
 
 
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words in lower case with each run of digits as one, hashed to 64 bits; ``offsets`` parts the rows."""
+def words(column: pa.Array) -> Words:
+    """Words of any script (runs of letters, marks and digits) in lower case with each run of ASCII digits as one, hashed
+    to 64 bits. Where a script has no spaces every letter is a word. ASCII words have the codes of ``word_codes``."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    wide = pc.invert(pc.string_is_ascii(column))
+    if pc.any(wide).as_py():
+        folded = pc.utf8_lower(pc.utf8_normalize(column.filter(wide), "NFC"))
+        folded = pc.replace_substring_regex(folded, r"[^\x00-\x7F\pL\pM\pN]+", " ")
+        column = pc.replace_with_mask(column, wide, pc.replace_substring_regex(folded, f"({UNSPACED})", r" \1 "))
+    return word_codes(*text_bytes(column), _WIDE)
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray, forms: np.ndarray = _FORM) -> Words:
+    """Words (runs of ASCII letters and digits) in lower case with each run of digits as one, hashed to 64 bits;
+    ``offsets`` parts the rows."""
     n = len(offsets) - 1
-    form = _FORM[data]
+    form = np.take(forms, data)
     digit = form == _DIGITS
     keep = np.ones(len(data), bool)
     keep[1:] = ~(digit[1:] & digit[:-1])
@@ -94,7 +113,9 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> Words:
     power = _power(len(form) + 1)
     total = np.r_[np.uint64(0), np.cumsum(form * power[0, : len(form)], dtype=np.uint64)]
     code = mix((total[end + 1] - total[start]) * power[1][start])
-    return Words(code, np.searchsorted(offsets, start, "right") - 1, n)
+    first = np.zeros(len(form) + 1, np.int32)
+    first[start + 1] = 1
+    return Words(code, np.repeat(np.arange(n), np.diff(np.cumsum(first)[offsets])), n)
 
 
 def word_code(word: str) -> np.uint64:
@@ -126,11 +147,7 @@ def min_hashes(grams: Words, bins: int) -> np.ndarray:
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full(grams.rows * bins, top)
     slot = grams.row * bins + (grams.code % np.uint64(bins)).astype(np.int64)
-    if len(slot):
-        order = np.argsort(slot, kind="stable")
-        slot, value = slot[order], grams.code[order]
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        out[slot[first]] = np.minimum.reduceat(value, first)
+    np.minimum.at(out, slot, grams.code)
     out = out.reshape(grams.rows, bins)
     filled = out != top
     for step in range(1, bins):

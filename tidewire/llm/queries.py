@@ -20,29 +20,24 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
     return names.groups(names.spellings(table(spark, sf, "extracted_entities")))
 
 
-def _residue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(msg_id) of messages and (record_id) of pages with residue."""
-    messages, pages = table(spark, sf, "kafka_schema"), table(spark, sf, "pipeline_task1")
-    canned = residue.repeated_responses(messages, pages)
-    return residue.residue(messages, canned, "msg_id"), residue.residue(pages, canned, "record_id")
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.responses(table(spark, sf, "kafka_schema"), table(spark, sf, "pipeline_task1"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    messages, pages = _residue(spark, sf)
-    return messages.select(F.lit("kafka_schema").alias("table_name"), F.col("msg_id").alias("row_id")).unionAll(
-        pages.select(F.lit("pipeline_task1").alias("table_name"), F.col("record_id").alias("row_id"))
-    )
+    found = _responses(spark, sf)
+    parts = [residue.residue(table(spark, sf, t), found, key).select(F.lit(t).alias("table_name"), F.col(key).alias("row_id")) for t, key in (("kafka_schema", "msg_id"), ("pipeline_task1", "record_id"))]
+    return parts[0].unionAll(parts[1])
 
 
 def p2_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages without those whose content is or holds residue."""
-    _, found = _residue(spark, sf)
-    return table(spark, sf, "pipeline_task1").select("record_id", "url", "source_name", "content").join(found, "record_id", "left_anti")
+    pages = table(spark, sf, "pipeline_task1").select("record_id", "url", "source_name", "content")
+    return residue.without_residue(pages, _responses(spark, sf), "record_id")
 
 
 def _truncated(spark: SparkSession, sf: str) -> DataFrame:
-    messages = table(spark, sf, "kafka_schema")
-    return truncation.truncated(messages, residue.repeated_responses(messages, table(spark, sf, "pipeline_task1")))
+    return truncation.truncated(table(spark, sf, "kafka_schema"), _responses(spark, sf))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,7 +40,7 @@ def bag_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(texts)), n)
     number = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) if len(row) else row
-    words = K.word_codes(*K.text_bytes(pc.list_flatten(parts)))
+    words = K.words(pc.list_flatten(parts))
     return row[words.row], number[words.row], (words.code % np.uint64(BUCKETS)).astype(np.int32)
 
 
