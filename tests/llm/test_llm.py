@@ -58,6 +58,10 @@ def test_min_hashes_estimate_similarity():
 # 1. Names
 
 
+def keys_of(kind, name):
+    return {key for key, _ in names.blocks(kind, name)}
+
+
 @pytest.mark.parametrize("a,b", [
     ("Anthony Wabogadus", "Wabogadus, Tony"), ("Anthony Wabogadus", "ANTHONY WABOGADUS"), ("Josephine Kohavumir", "Josephine Kohavuimr"), ("Josephine Kohavumir", "Josephiine Kohavumir"),
     ("Farid Waibagaifais", "Sir Farid Waibagaifais"), ("Natalie Zokirebin", "Zokirebin Natalie"), ("Chandra Kuvamarais", "Chandra K. Kuvamarais"), ("Renée Mokegeda", "renee mokegeda"),
@@ -65,7 +69,7 @@ def test_min_hashes_estimate_similarity():
 ])
 def test_people_match(a, b):
     x, y = names.parse("person", a), names.parse("person", b)
-    assert names.same("person", x, y) and names.blocks("person", x) & names.blocks("person", y)
+    assert names.same("person", x, y) and keys_of("person", x) & keys_of("person", y)
 
 
 @pytest.mark.parametrize("a,b", [("Chandra Kuvamarais", "Teresa Kuvamarais"), ("Farid Waibagaifais", "Theodore Waibagaifais"), ("Walter Vedaidubai", "Vincent Vedaidubai"), ("A. B.", "A. B.")])
@@ -98,15 +102,24 @@ def one_slip_words(word):
 @pytest.mark.parametrize("kind,before,after", [("person", "Anthony ", ""), ("person", "", " Lee"), ("organization", "", " Plantations Berhad"), ("organization", "Harbour ", " Svcs")])
 def test_every_slip_meets_in_a_block(kind, before, after):
     for word in ("vukaibujir", "josewezal", "gimukedir", "vojabugin", "bafovezu", "sinaizojas"):
-        keys = names.blocks(kind, names.parse(kind, before + word + after))
-        lost = [w for w in one_slip_words(word) if not keys & names.blocks(kind, names.parse(kind, before + w + after))]
+        keys = keys_of(kind, names.parse(kind, before + word + after))
+        lost = [w for w in one_slip_words(word) if not keys & keys_of(kind, names.parse(kind, before + w + after))]
         assert not lost
 
 
 def test_a_slip_beside_an_abbreviation_meets_in_a_block():
     for a, b in (("Kadetuhas Offshore Services", "Kadetuhas Ofshore Svcs"), ("Kadetuhas Offshore", "Kadetuhas Iffshore"), ("Bafovezu Offshore Services", "Basovezu Offshore Svcs")):
         x, y = names.parse("organization", a), names.parse("organization", b)
-        assert names.blocks("organization", x) & names.blocks("organization", y)
+        assert keys_of("organization", x) & keys_of("organization", y)
+
+
+def test_candidates_of_frequent_words(spark):
+    """A word of many organisations leads to no pair by first letters alone, but by a second word, and copies stay whole."""
+    firms = [f"{w} Services" for w in ("Kadetuhas", "Kadituhes", "Kelomarun", "Kozubinav", "Kadonepul", "Kiheborun")] + ["Kadetuhas Svcs", "Kadetuhas Servces", "Iadetuhas Services"]
+    df = spark.createDataFrame([("organization", f, k) for k, f in enumerate(firms)], "kind string, name string, id bigint")
+    pairs = {tuple(sorted((r.name_a, r.name_b))) for r in names.candidates(df, frequent=4).collect()}
+    assert {("Kadetuhas Services", f) if f > "Kadetuhas Services" else (f, "Kadetuhas Services") for f in firms[6:]} <= pairs
+    assert not {p for p in pairs if set(p) <= set(firms[2:6])} and len(names.candidates(df).collect()) > len(pairs)
 
 
 def test_groups(spark):
@@ -303,6 +316,26 @@ def test_pairs_equal_brute_force_with_a_wide_record(spark):
     assert sorted((r.item_a, r.item_b, r.n_a, r.n_b, r.n_ab, r.n_records) for r in got.collect()) == brute_pairs(records, 2, 0)
 
 
+def test_the_block_pairs_of_one_record_are_in_many_tasks(spark):
+    coded = spark.range(20_000).select(F.struct(F.lit(7).alias("a"), F.lit(1).alias("b")).alias("record"), F.col("id").cast("int").alias("id"), F.lit(20_000).cast("bigint").alias("k"))
+    blocks = -(-20_000 // cooccurrence.BLOCK)
+    paired = cooccurrence.blocks_paired(coded, blocks * (blocks + 1) // 2).select("low", "high", F.size("a").alias("x"), F.size("b").alias("y"), F.spark_partition_id().alias("task"))
+    rows = paired.collect()
+    assert sorted((r.low, r.high) for r in rows) == [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    assert sum(r.x * r.y if r.low < r.high else r.x * (r.x - 1) // 2 for r in rows) == 20_000 * 19_999 // 2
+    per = {}
+    for r in rows:
+        per[r.task] = per.get(r.task, 0) + 1
+    assert len(per) > 100 and max(per.values()) < 3 * cooccurrence.BLOCK_PAIRS
+
+
+def test_numbered_items(spark):
+    df = spark.createDataFrame([(x, 1) for x in "z b é a B 10 9 日".split()], "item string, c int").repartition(5)
+    got = {r.item: r.id for r in cooccurrence.numbered(df).collect()}
+    assert got == {x: k for k, x in enumerate(sorted(got))}
+    assert cooccurrence.numbered(df.limit(0)).count() == 0
+
+
 def test_mentions(spark):
     rows = [(1, "u", [" A ", "A", "", None], None, ["P\t"]), (2, "u", ["B"], [], None), (3, None, ["A"], None, None), (4, None, None, None, None)]
     df = spark.createDataFrame(rows, "entity_row_id bigint, url string, people_mentioned array<string>, organizations_mentioned array<string>, locations_mentioned array<string>")
@@ -409,12 +442,25 @@ def test_encode_ids(spark):
     long = "".join(random.Random(2).choice("abc de.\n'st1") for _ in range(5000))
     texts = [None, "", " ", "Hello world", long, "x" * 3000, "<|endoftext|>"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit(1))
-    got = {r.doc_id: r.ids for r in tokens.encode_ids(df, VOCABULARY, piece=500, window=2).collect()}
-    assert got == {k: t.encode(x or "", add_special_tokens=False).ids for k, x in enumerate(texts)}
+    for spread in (0, 4_000, tokens.SPREAD):  # pieces of all, of the longest, of no text are spread over tasks
+        got = {r.doc_id: r.ids for r in tokens.encode_ids(df, VOCABULARY, piece=500, window=2, spread=spread).collect()}
+        assert got == {k: t.encode(x or "", add_special_tokens=False).ids for k, x in enumerate(texts)}
     assert t.decode(got[4]) == long
     assert tokens.encode_ids(df.limit(0), VOCABULARY).count() == 0
 
 
+def test_p8_ids_equal_the_library_on_all_documents(spark):
+    """The registered query with its own parameters, whose long texts go through the tree."""
+    from tests.oracle import SF
+    from tidewire.llm import queries
+
+    t = tokens._tokenizer(VOCABULARY)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.ids for r in queries.QUERIES["p8_ids"](spark, SF).collect()}
+    assert got == {k: t.encode(x, add_special_tokens=False).ids for k, x in texts.items()}
+    assert sum(len(x) > 2 * tokens.PIECE for x in texts.values()) > 0
+
+
 # 9. Leakage
 
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from tidewire.session import cut
 WIDE = 256
 #: Items in a block of a wide record, on average.
 BLOCK = 128
+#: Pairs of blocks in a task, about a million pairs of items; no more tasks than MOST_TASKS.
+BLOCK_PAIRS, MOST_TASKS = 64, 20_000
 #: Codes sorted at once in a task, 16 MB.
 RUN = 2_000_000
 #: Dictionaries of up to this many items are broadcast (about 20 MB); larger ones are joined by shuffling.
@@ -108,24 +109,56 @@ def pair_counts(coded: DataFrame) -> DataFrame:
 
     A pair's code is the smaller id times 2**32 plus the larger. Tasks emit their codes as sorted runs with counts;
     the shuffle sorts each partition externally (it spills runs and merges them), and one pass counts run lengths. A
-    record with more than WIDE items is split into blocks by hash, and every two blocks are paired in a task of their
-    own, so that no task or row holds an unbounded record. Without such records, which is checked first, the blocks and
-    the join that tells them apart are left out; a few are told apart by broadcast, many by shuffling.
+    record with more than WIDE items is split into blocks by hash, and its pairs of blocks are spread over tasks, so
+    that no task or row holds an unbounded record. Without such records, which is checked first, the blocks and the join
+    that tells them apart are left out; a few are told apart by broadcast, many by shuffling.
     """
     alone = F.lit(None).cast("array<int>").alias("b")
     wide = cut(coded.groupBy("record").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > WIDE))
-    n_wide = wide.count()
+    n = F.ceil(F.col("k") / BLOCK)
+    n_wide, block_pairs = wide.agg(F.count(F.lit(1)), F.coalesce(F.sum(n * (n + 1) / 2), F.lit(0.0))).first()
     if n_wide and n_wide <= BROADCAST_ITEMS:
         wide = F.broadcast(wide)
     narrow = coded.join(wide.select("record"), "record", "left_anti") if n_wide else coded
     lists = narrow.groupBy("record").agg(F.collect_list("id").alias("a")).select("a", alone)
+    runs = lists.mapInArrow(_emit, CODES)
     if n_wide:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK))
-        blocks = coded.join(wide, "record").groupBy("record", block.alias("block")).agg(F.collect_list("id").alias("a"))
-        other = blocks.select("record", F.col("block").alias("other"), F.col("a").alias("b"))
-        across = blocks.join(other, "record").filter(F.col("block") < F.col("other")).select("a", "b")
-        lists = lists.unionByName(blocks.select("a", alone)).unionByName(across)
-    return lists.mapInArrow(_emit, CODES).repartition("code").sortWithinPartitions("code").mapInArrow(_merge, CODES)
+        runs = runs.unionAll(blocks_paired(coded.join(wide, "record"), int(block_pairs)).select("a", "b").mapInArrow(_emit, CODES))
+    return runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, CODES)
+
+
+def blocks_paired(wide: DataFrame, block_pairs: int) -> DataFrame:
+    """(record, low, high, a, b): every two blocks of each record of ``wide`` (record, id, k = its items), and each block
+    alone with a null ``b``; ``block_pairs`` is their number.
+
+    A block goes to each of its pairs by the key (record, low, high), never to one task for a record, in a number of
+    partitions that follows the number of pairs.
+    """
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK)).cast("int")
+    blocks = wide.groupBy("record", "k", block.alias("block")).agg(F.collect_list("id").alias("ids"))
+    last = (F.ceil(F.col("k") / BLOCK) - 1).cast("int")
+    tasks = min(max(block_pairs // BLOCK_PAIRS, 1), MOST_TASKS)
+    key = ["record", "low", "high"]
+    left = blocks.select("record", F.col("block").alias("low"), F.explode(F.sequence("block", last)).alias("high"), F.col("ids").alias("a")).repartition(tasks, *key)
+    right = blocks.select("record", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), F.col("ids").alias("b")).repartition(tasks, *key)
+    return left.join(right, key).select(*key, "a", F.when(F.col("low") < F.col("high"), F.col("b")).alias("b"))
+
+
+def numbered(items: DataFrame) -> DataFrame:
+    """``items`` (item, ...) with ``id`` from 0 in the order of ``item``: a distributed sort, then each partition's rows
+    are counted from where the partitions before it end. Only the partitions' sizes come to the driver."""
+    placed = cut(items.sort("item").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts.append((p, total))
+        total += sizes[p]
+    if total >= 2**31:
+        raise ValueError("over 2**31 items: their ids don't fit two to a 64-bit code")
+    begun = F.broadcast(items.sparkSession.createDataFrame(starts, "_part int, _start bigint"))
+    found = placed.withColumn("_part", part).join(begun, "_part")
+    return found.withColumn("id", (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("int")).drop("_part", "_start", "_at")
 
 
 def together(mentioned: DataFrame, least: int = 5, least_share: float = 1 / 500) -> DataFrame:
@@ -137,23 +170,18 @@ def together(mentioned: DataFrame, least: int = 5, least_share: float = 1 / 500)
     left out before pairing, which loses nothing; their number is at most the mean items of a record divided by
     ``least_share``. No rows in, no rows out.
     """
-    mentioned = mentioned.persist(StorageLevel.DISK_ONLY)
-    n_records = mentioned.filter(F.col("item").isNull()).count()
-    need = max(least, least_share * n_records)
-    counts = mentioned.filter(F.col("item").isNotNull()).groupBy("item").agg(F.count(F.lit(1)).alias("c"))
-    frequent = counts.filter(F.col("c") >= need).sort("item")
-    spark = mentioned.sparkSession
-    numbered = spark.createDataFrame(
-        frequent.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "item string, c bigint, id int"
-    ).persist(StorageLevel.DISK_ONLY)
-    small = numbered.count() <= BROADCAST_ITEMS
-    sized = F.broadcast if small else (lambda df: df)
     record = F.struct(F.xxhash64("record").alias("a"), F.hash("record").alias("b")).alias("record")  # 96 bits stand for the text
-    coded = mentioned.join(sized(numbered.select("item", "id")), "item").select(record, "id").persist(StorageLevel.DISK_ONLY)
+    mentioned = cut(mentioned.select(record, "item"))
+    counts = cut(mentioned.groupBy("item").agg(F.count(F.lit(1)).alias("c")))
+    n_records = sum(r.c for r in counts.filter(F.col("item").isNull()).collect())
+    need = max(least, least_share * n_records)
+    items = cut(numbered(counts.filter(F.col("item").isNotNull() & (F.col("c") >= need))))
+    sized = F.broadcast if items.count() <= BROADCAST_ITEMS else (lambda df: df)
+    coded = mentioned.join(sized(items.select("item", "id")), "item").select("record", "id")
     pairs = pair_counts(coded).filter(F.col("n") >= need)
 
     def named(side: str, id_: Column) -> DataFrame:
-        return numbered.select(F.col("id").alias(f"id_{side}"), F.col("item").alias(f"item_{side}"), F.col("c").alias(f"n_{side}"))
+        return items.select(F.col("id").alias(f"id_{side}"), F.col("item").alias(f"item_{side}"), F.col("c").alias(f"n_{side}"))
 
     a, b, ab, total = (F.col(x).cast("double") for x in ("n_a", "n_b", "n_ab", "n_records"))
     odds = ((ab + 0.5) * (total - a - b + ab + 0.5)) / ((a - ab + 0.5) * (b - ab + 0.5))

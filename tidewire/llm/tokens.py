@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of more characters are encoded in pieces of about this many.
-PIECE = 32_768
+from tidewire.llm import kernels as K
+
+#: Texts of more than two pieces are encoded in pieces of about this many characters and joined as a tree.
+PIECE = 1_024
+#: Texts of more characters than this are so long that their pieces are spread over tasks.
+SPREAD = 65_536
 #: How far after its due place a cut may wait for a place where the pattern always splits.
-SEEK = 2_048
+SEEK = 256
 #: Tokens on each side of a join in the first window; doubled until both sides agree.
 WINDOW = 16
 
@@ -63,9 +67,15 @@ class Encoded:
 
     @classmethod
     def of(cls, text: str, vocabulary: str) -> Encoded:
-        e = _tokenizer(vocabulary).encode(text, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-        return cls(text, np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])
+        return cls.all_of([text], vocabulary)[0]
+
+    @classmethod
+    def all_of(cls, texts: list[str], vocabulary: str) -> list[Encoded]:
+        out = []
+        for text, e in zip(texts, _tokenizer(vocabulary).encode_batch(texts, add_special_tokens=False), strict=True):
+            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
+            out.append(cls(text, np.array(e.ids, np.int32), spans[:, 0], spans[:, 1]))
+        return out
 
 
 def join(a: Encoded, b: Encoded, vocabulary: str, window: int = WINDOW) -> Encoded:
@@ -118,31 +128,32 @@ def tree(parts: list[Encoded], vocabulary: str, window: int = WINDOW) -> Encoded
     return parts[0]
 
 
-def encode_ids(documents: DataFrame, vocabulary: str, piece: int = PIECE, window: int = WINDOW) -> DataFrame:
+def encode_ids(documents: DataFrame, vocabulary: str, piece: int = PIECE, window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
     """(doc_id, ids): the ids of each ``text`` by the byte-level BPE file ``vocabulary``, without special tokens.
 
-    Null and empty texts give an empty list. Texts of up to ``2 * piece`` characters are encoded where they are read,
-    without a shuffle. Longer ones are cut into pieces that any task may encode; their document joins them as a tree.
-    Strings of special tokens in a text are ordinary text. Repeated doc_ids with long texts aren't supported, as
-    doc_id is unique; other columns are ignored. No rows in, no rows out.
+    Null and empty texts give an empty list. A text of more than two pieces is cut into pieces that are encoded on their
+    own and joined as a tree; a shorter one is a single leaf. Texts of up to ``spread`` characters are whole in the task
+    that reads them, without a shuffle; the pieces of longer ones are encoded by any task, and their document joins
+    them. Strings of special tokens in a text are ordinary text. Repeated doc_ids with such long texts aren't supported,
+    as doc_id is unique; other columns are ignored. No rows in, no rows out.
     """
     documents = documents.select("doc_id", "text")
-    long = F.char_length("text") > 2 * piece
+    long = F.char_length("text") > max(spread, 2 * piece)
+    ints = pa.list_(pa.int32())
 
-    def short_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(vocabulary)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):  # at most about 4 MB of text at once
-                stop, size = at, 0
-                while stop < len(texts) and size < 4_000_000:
-                    size += len(texts[stop] or "") + 1
-                    stop += 1
-                found = t.encode_batch_fast([x or "" for x in texts[at:stop]], add_special_tokens=False)
-                ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, stop - at), ids], ["doc_id", "ids"])
-                at = stop
+        for batch in K.by_size(batches, "text"):
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            leaves = [k for k, x in enumerate(texts) if len(x) <= 2 * piece]
+            ids: list = [None] * len(texts)
+            for k, e in zip(leaves, t.encode_batch_fast([texts[k] for k in leaves], add_special_tokens=False), strict=True):
+                ids[k] = e.ids
+            cuts = {k: cut_text(x, piece, min(SEEK, piece)) for k, x in enumerate(texts) if ids[k] is None}
+            found = iter(Encoded.all_of([p for parts in cuts.values() for p in parts], vocabulary))
+            for k, parts in cuts.items():
+                ids[k] = tree([next(found) for _ in parts], vocabulary, window).ids
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, ints)], ["doc_id", "ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +163,7 @@ def encode_ids(documents: DataFrame, vocabulary: str, piece: int = PIECE, window
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Encoded.of(x, vocabulary) for x in batch.column("text").to_pylist()]
-            ints = pa.list_(pa.int32())
+            found = Encoded.all_of(batch.column("text").to_pylist(), vocabulary)
             columns = [pa.array([getattr(e, c).tolist() for e in found], ints) for c in ("ids", "start", "end")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "ids", "start", "end"])
 
@@ -162,7 +172,7 @@ def encode_ids(documents: DataFrame, vocabulary: str, piece: int = PIECE, window
         parts = [Encoded(r.text, *(np.asarray(x) for x in (r.ids, r.start, r.end))) for r in pdf.itertuples()]
         return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "ids": [tree(parts, vocabulary, window).ids]})
 
-    direct = documents.filter(~F.coalesce(long, F.lit(False))).mapInArrow(short_texts, IDS)
-    spread = documents.filter(long).mapInArrow(pieces, "doc_id bigint, k int, text string").repartition("doc_id", "k")
-    spans = spread.mapInArrow(encoded, "doc_id bigint, k int, text string, ids array<int>, start array<int>, end array<int>")
+    direct = documents.filter(~F.coalesce(long, F.lit(False))).mapInArrow(here, IDS)
+    parted = documents.filter(long).mapInArrow(pieces, "doc_id bigint, k int, text string").repartition("doc_id", "k")
+    spans = parted.mapInArrow(encoded, "doc_id bigint, k int, text string, ids array<int>, start array<int>, end array<int>")
     return direct.unionByName(spans.groupBy("doc_id").applyInPandas(joined, IDS))
