@@ -139,23 +139,18 @@ def shingles(words: Words, size: int) -> Words:
     return Words(out[whole], row[whole], words.rows)
 
 
-def min_hashes(grams: Words, bins: int) -> np.ndarray:
-    """One-permutation MinHash, rows by bins: the least hash that falls into each bin; an empty bin takes the next one's.
+def min_hashes(grams: Words, n: int) -> np.ndarray:
+    """MinHash, rows by ``n``: the least code of each row under ``n`` permutations of 64-bit numbers.
 
-    Two rows agree in a bin with the probability of their Jaccard similarity. Rows without shingles have all ones.
+    Two rows agree in a column with the probability of their Jaccard similarity. Rows without shingles have all ones.
     """
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(grams.rows * bins, top)
-    slot = grams.row * bins + (grams.code % np.uint64(bins)).astype(np.int64)
-    np.minimum.at(out, slot, grams.code)
-    out = out.reshape(grams.rows, bins)
-    filled = out != top
-    for step in range(1, bins):
-        empty = out == top
-        if not empty[filled.any(axis=1)].any():
-            break
-        ahead, there = np.roll(out, -1, axis=1), np.roll(out != top, -1, axis=1)
-        out = np.where(empty & there, mix(ahead + np.uint64(step)), out)
+    out = np.full((grams.rows, n), np.uint64(0xFFFFFFFFFFFFFFFF))
+    if len(grams.row):
+        first = np.flatnonzero(np.r_[True, grams.row[1:] != grams.row[:-1]])
+        seeds = mix(np.arange(1, n + 1, dtype=np.uint64))
+        for k, (seed, factor) in enumerate(zip(seeds, mix(seeds) | np.uint64(1), strict=True)):
+            code = (grams.code ^ seed) * factor
+            out[grams.row[first], k] = np.minimum.reduceat(code ^ (code >> np.uint64(32)), first)
     return out
 
 

@@ -40,8 +40,8 @@ LEAST = 3
 UNENDED = 0.9
 #: A closing has several words or begins with a sign; one bare word is the beginning of a cut sentence.
 SEVERAL = r"\w\W+\w"
-#: MinHash bands and hashes in each: pairs of similarity 0.8 meet in a band with probability 0.986.
-BANDS, ROWS = 6, 3
+#: MinHash bands and hashes in each: pairs of similarity 0.8 meet in a band with probability 0.985, of 0.1 with 0.0008.
+BANDS, ROWS = 8, 4
 SHINGLE = 5
 SIMILAR = 0.8
 #: Words at the end of a value that an alignment may find changed behind the last equal shingle.
