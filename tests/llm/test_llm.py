@@ -483,7 +483,9 @@ def test_leaks_equal_brute_force(spark):
     want = sorted((d, i) for d, x in docs for i, y in items if spans(x) & spans(y))
     found = leakage.leaks(ds, its)
     assert rows_of(leakage.shared_runs(found)) == want
-    assert {r.item_id: r.shared_run for r in found.filter("doc_id = 62").collect()} | {} == {0: 30, 1: 30}
+    assert {r.item_id: r.shared_run for r in found.filter("doc_id = 62").collect()} == {0: 30, 1: 30}
+    joined = leakage.leaks(ds, its, index_bytes=0)  # the windows of too many items for an index
+    assert rows_of(joined) == rows_of(found) and leakage.leaks(ds, its.limit(0), index_bytes=-1).count() == 0
     assert leakage.leaks(ds.limit(0), its).count() == 0 and leakage.leaks(ds, its.limit(0)).count() == 0
 
 
@@ -522,6 +524,29 @@ def test_subjects_of_clear_texts(spark):
     assert not {300, 301, 302} & set(got)
     assert sum(got.get(k) == v for k, v in truth.items()) / len(truth) > 0.9
     assert subjects.subjects(ds.filter("doc_id >= 300"), areas, labels).count() == 0
+    assert subjects.subjects(ds, areas.limit(0), labels).count() == 0
+
+
+def test_all_areas_count(spark, monkeypatch):
+    """Areas late in the alphabet aren't cut off; more than fit a task raise an error."""
+    docs = spark.createDataFrame([(k, "Goal penalty striker. Goal keeper saves. Striker penalty goal.", "en") for k in range(3)] + [(k, f"Bond dividend yield{k}x. Lender bond coupon.", "en") for k in range(3, 9)], "doc_id bigint, text string, lang string")
+    areas = spark.createDataFrame([(f"a{k:05}", f"nothing{k}") for k in range(300)] + [("zz", "goal penalty striker keeper")], "subject string, description string")
+    labels = spark.createDataFrame([(0, "zz")], "doc_id bigint, subject string")
+    assert {r.subject for r in subjects.subjects(docs, areas, labels).collect() if r.doc_id < 3} == {"zz"}
+    monkeypatch.setattr(subjects, "MOST_AREAS", 300)
+    with pytest.raises(ValueError):
+        subjects.subjects(docs, areas, labels)
+
+
+def test_sums_of_many_tasks_are_added_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "SUMS", 3)
+
+    def partial(batches):
+        return np.full((200, 2), float(sum(len(b) for b in batches)))
+
+    got = subjects._summed(spark.range(0, 1000, 1, 14), partial, 200, 2)
+    assert got.shape == (200, 2) and (got == 1000).all()
+    assert subjects._summed(spark.range(0), partial, 200, 2).sum() == 0
 
 
 # Registered queries
@@ -544,13 +569,13 @@ def test_query_runs(spark, name):
 
 
 def test_leaks_in_very_long_documents(spark, monkeypatch):
+    """A shared run is whole however long it is and wherever the parts of a document meet."""
     monkeypatch.setattr(leakage, "AT_ONCE", 40)
-    monkeypatch.setattr(leakage, "OVERLAP", 30)
     words = [f"w{k}x" for k in range(300)]
-    item = " ".join(words[95:120])
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [" ".join(words), " ".join(words[:97])]})
-    got = [r for b in leakage._search([(7, item)], 12, 3, 0.5)(iter([batch])) for r in b.to_pylist()]
-    assert {r["doc_id"] for r in got if r["shared_run"] >= 12} == {1} and max(r["shared_run"] for r in got) == 25
+    items = [(7, " ".join(words[95:120])), (8, " ".join(words[10:290]))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [" ".join(words), " ".join(words[:97]), " ".join(words[100:130])]})
+    got = {(r["doc_id"], r["item_id"]): r["shared_run"] for b in leakage._search(items, 12, 3, 0.5)(iter([batch])) for r in b.to_pylist() if r["shared_run"]}
+    assert got == {(1, 7): 25, (1, 8): 280, (2, 8): 87, (3, 7): 20, (3, 8): 30}
 
 
 def test_by_size_keeps_all_rows():

@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import cut
+
 #: Longest runs of letters and digits of any script.
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 ASCII_WORDS = re.compile(r"[A-Za-z0-9]+")
@@ -19,13 +21,11 @@ ASCII_WORDS = re.compile(r"[A-Za-z0-9]+")
 SPAN = 12
 #: Fingerprints up to this many bits apart are candidates; RADIUS + 1 blocks of bits guarantee that all are found.
 RADIUS = 3
-#: Items whose windows are held in a task at once (about 100 MB); more items are searched in further passes.
-ITEMS_AT_ONCE = 20_000
+#: Items of up to so many bytes of text are indexed in each task (about 100 MB); the windows of more are joined.
+INDEX_BYTES = 4_000_000
 
 #: Words whose windows are hashed at once.
 AT_ONCE = 50_000
-#: Words that the parts of a longer document share: a shared run of up to so many is whole in one of them.
-OVERLAP = 1_000
 
 FOUND = "doc_id bigint, item_id bigint, similarity double, shared_run int"
 
@@ -119,23 +119,35 @@ def _similarity(a: np.ndarray, b: np.ndarray, span: int) -> np.ndarray:
     return common / (2 * (span - 1) - common)
 
 
-def _joined(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Documents of a batch, about AT_ONCE words at a time: their ids, the codes of their words one after the other, and
-    the document of each word. A longer document comes in parts that overlap."""
+def _joined(batch: pa.RecordBatch, known: dict[str, int], span: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, int, bool]]:
+    """The documents of a batch in groups of about AT_ONCE words: their ids, the codes of their words one after the other,
+    the document of each word, the place of the first word, and whether the group's documents end here.
+
+    A longer document comes in several groups of its own that share ``span - 1`` words, so that each of its windows is
+    whole in just one of them."""
     docs, parts, size = [], [], 0
+
+    def group() -> tuple[list, np.ndarray, np.ndarray, int, bool]:
+        return docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), 0, True
+
     for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
         if len(known) > 1_000_000:
             known.clear()
         codes = word_codes(words(text.as_py()), known)
-        for start in range(0, max(len(codes) - OVERLAP, 1), AT_ONCE):
-            docs.append(doc)
-            parts.append(codes[start : start + AT_ONCE + OVERLAP])
-            size += len(parts[-1])
-            if size >= AT_ONCE:
-                yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                docs, parts, size = [], [], 0
+        if len(codes) > AT_ONCE + span:
+            starts = range(0, len(codes) - span + 1, AT_ONCE)
+            for start in starts:
+                part = codes[start : start + AT_ONCE + span - 1]
+                yield [doc], part, np.zeros(len(part), np.int64), start, start == starts[-1]
+            continue
+        docs.append(doc)
+        parts.append(codes)
+        size += len(codes)
+        if size >= AT_ONCE:
+            yield group()
+            docs, parts, size = [], [], 0
     if docs:
-        yield docs, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        yield group()
 
 
 def _search(items: list[tuple[int, str | None]], span: int, radius: int, least: float):
@@ -147,32 +159,88 @@ def _search(items: list[tuple[int, str | None]], span: int, radius: int, least:
         step = np.arange(span)
         for batch in batches:
             out: list[tuple] = []
-            for docs, codes, doc in _joined(batch, known):
+            held: list[tuple[np.ndarray, ...]] = []
+            for docs, codes, doc, first, last in _joined(batch, known, span):
                 prints = simhashes(codes, span)
-                if not len(prints):
-                    continue
-                start = np.flatnonzero(doc[: len(prints)] == doc[span - 1 :])  # windows inside one document
+                start = np.flatnonzero(doc[: len(prints)] == doc[span - 1 :]) if len(prints) else np.empty(0, np.int64)  # windows inside one document
                 near, window = index.near(prints[start])
-                if not len(near):
-                    continue
                 at = start[near]
                 a = codes[at[:, None] + step]
                 b = index.codes[index.start[window][:, None] + step]
                 equal = (a == b).all(axis=1)
                 likeness = np.where(equal, 1.0, _similarity(a, b, span))
                 keep = likeness >= least
-                at, window, equal, likeness = at[keep], window[keep], equal[keep], likeness[keep]
-                pair, which = np.unique(np.stack([doc[at], index.item[window]]), axis=1, return_inverse=True)
-                which = which.ravel()
-                best = np.zeros(pair.shape[1])
-                np.maximum.at(best, which, likeness)
-                runs = _runs(at[equal], index.start[window][equal], which[equal], span)
-                out += [(docs[d], int(item), float(best[k]), runs.get(k, 0)) for k, (d, item) in enumerate(pair.T.tolist())]
+                held.append((doc[at][keep], at[keep] + first, window[keep], equal[keep], likeness[keep]))
+                if not last:
+                    continue
+                doc_at, at, window, equal, likeness = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+                if len(at):
+                    pair, which = np.unique(np.stack([doc_at, index.item[window]]), axis=1, return_inverse=True)
+                    which = which.ravel()
+                    best = np.zeros(pair.shape[1])
+                    np.maximum.at(best, which, likeness)
+                    runs = _runs(at[equal], index.start[window][equal], which[equal], span)
+                    out += [(docs[d], int(item), float(best[k]), runs.get(k, 0)) for k, (d, item) in enumerate(pair.T.tolist())]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "similarity", "shared_run"), r, strict=True)) for r in out], _SCHEMA)
 
     return search
 
 
+def windows(texts: DataFrame, key: str, span: int) -> DataFrame:
+    """(key, at, print, codes): every window of ``span`` words of each text: its place, SimHash and word codes."""
+    schema = pa.schema([(key, pa.int64()), ("at", pa.int64()), ("print", pa.int64()), ("codes", pa.binary(8 * span))])
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            batch = batch.rename_columns(["doc_id", "text"])
+            for ids, codes, doc, first, _ in _joined(batch, known, span):
+                prints = simhashes(codes, span)
+                if not len(prints):
+                    continue
+                start = np.flatnonzero(doc[: len(prints)] == doc[span - 1 :])
+                begin = np.searchsorted(doc, doc[start])
+                data = pa.py_buffer(np.ascontiguousarray(codes[start[:, None] + np.arange(span)]))
+                columns = [pa.array(ids, pa.int64()).take(pa.array(doc[start])), pa.array(start - begin + first), pa.array(prints[start].view(np.int64)), pa.Array.from_buffers(pa.binary(8 * span), len(start), [None, data])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema).cast(pa.schema([*list(schema)[:3], ("codes", pa.binary())]))
+
+    return texts.select(key, "text").mapInArrow(cut_up, f"{key} bigint, at bigint, print bigint, codes binary")
+
+
+def _joined_windows(documents: DataFrame, items: DataFrame, span: int, radius: int, least: float) -> DataFrame:
+    """``leaks`` by a join of windows on a block's number and its bits, for any number of items; adaptive execution splits
+    the rows of a frequent block. A pair of windows that meets in several blocks counts in the first."""
+    cuts = np.linspace(0, 64, radius + 2).astype(int)
+    bits = [(F.shiftrightunsigned("print", int(low)).bitwiseAND(F.lit((1 << int(high - low)) - 1))) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+    blocks = lambda: F.posexplode(F.array(*bits)).alias("block", "bits")
+    left = windows(documents, "doc_id", span).select("doc_id", "at", "print", "codes", blocks())
+    right = windows(items, "item_id", span).select("item_id", F.col("at").alias("start"), F.col("print").alias("other"), F.col("codes").alias("other_codes"), blocks())
+    apart = F.col("print").bitwiseXOR(F.col("other"))
+    met = left.join(right, ["block", "bits"]).filter(F.bit_count(apart) <= radius)
+    for k in range(1, radius + 1):
+        before = F.lit(False)
+        for low, high in zip(cuts[:k], cuts[1 : k + 1], strict=True):
+            before = before | (F.shiftrightunsigned(apart, int(low)).bitwiseAND(F.lit((1 << int(high - low)) - 1)) == 0)
+        met = met.filter((F.col("block") != k) | ~before)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, span) for c in ("codes", "other_codes"))
+            equal = (a == b).all(axis=1)
+            likeness = np.where(equal, 1.0, _similarity(a, b, span))
+            columns = [*(batch.column(c) for c in ("doc_id", "item_id", "at", "start")), pa.array(equal), pa.array(likeness)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "at", "start", "equal", "similarity"]).filter(pa.array(likeness >= least))
+
+    found = cut(met.select("doc_id", "item_id", "at", "start", "codes", "other_codes").mapInArrow(verify, "doc_id bigint, item_id bigint, at bigint, start bigint, equal boolean, similarity double"))
+    pair = ["doc_id", "item_id"]
+    diagonal = Window.partitionBy(*pair, F.col("start") - F.col("at")).orderBy("at")
+    runs = found.filter("equal").select(*pair, (F.col("start") - F.col("at")).alias("diagonal"), (F.col("at") - F.row_number().over(diagonal)).alias("run"))
+    runs = runs.groupBy(*pair, "diagonal", "run").agg(F.count(F.lit(1)).alias("n")).groupBy(*pair).agg((F.max("n") + span - 1).cast("int").alias("shared_run"))
+    best = found.groupBy(*pair).agg(F.max("similarity").alias("similarity"))
+    return best.join(runs, pair, "left").select(*pair, "similarity", F.coalesce("shared_run", F.lit(0)).alias("shared_run"))
+
+
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("shared_run", pa.int32())])
 
 
@@ -188,29 +256,26 @@ def _runs(at: np.ndarray, start: np.ndarray, item: np.ndarray, span: int) -> dic
     return longest
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, radius: int = RADIUS, least: float = 0.5) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, radius: int = RADIUS, least: float = 0.5, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Documents that hold passages of items: (doc_id, item_id, similarity, shared_run).
 
     A row is a document and an item with windows of ``span`` words whose SimHashes are at most ``radius`` bits apart
     and whose word pairs have a weighted Jaccard similarity of ``least`` or more; ``similarity`` is the greatest,
     ``shared_run`` the longest run of words that both have (0 if shorter than ``span``). Equal windows have equal
     SimHashes and the blocks of bits find all fingerprints within the radius, so no run of ``span`` words is missed.
-    The corpus is read once per ITEMS_AT_ONCE items and never shuffled; the items, small held-out material, travel to
-    the tasks in slices of that bounded number. Null, empty and shorter texts have no windows and give no rows; repeated
-    items each count. Other columns are ignored.
+    Items of up to ``index_bytes`` of text travel to the tasks as an index, and the corpus is read once and never
+    shuffled. Of more items, the windows are joined with those of the corpus on a block's number and bits, and nothing
+    passes through the driver. Null, empty and shorter texts have no windows and give no rows; repeated items each count.
+    Other columns are ignored.
     """
     documents, items = documents.select("doc_id", "text"), items.select("item_id", "text")
-    slices: list[list[tuple[int, str | None]]] = [[]]
-    for row in items.toLocalIterator():
-        if len(slices[-1]) >= ITEMS_AT_ONCE:
-            slices.append([])
-        slices[-1].append((row.item_id, row.text))
-    found = [documents.mapInArrow(_search(part, span, radius, least), FOUND) for part in slices]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 100 * F.count(F.lit(1))).first()[0]
+    if size > index_bytes:
+        return _joined_windows(documents, items, span, radius, least)
+    listed = [(r.item_id, r.text) for r in items.collect()]
+    found = documents.mapInArrow(_search(listed, span, radius, least), FOUND)
     best = (F.max(c).alias(c) for c in ("similarity", "shared_run"))
-    return out.groupBy("doc_id", "item_id").agg(*best)
+    return found.groupBy("doc_id", "item_id").agg(*best)
 
 
 def shared_runs(found: DataFrame, least: int = SPAN) -> DataFrame:
