@@ -238,6 +238,128 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/once").count() == P.event_time(batch.filter("url <> ''")).select("url", "event_time").distinct().count()
 
 
+def _stream(spark, tmp_path, df):
+    """``df`` written as files and read back as a stream."""
+    df.write.parquet(f"{tmp_path}/in")
+    return spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+
+
+EVENTS = [("2024-01-01 10:00:00", "a"), ("2024-01-01 12:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 01:00:00", "b"), ("2024-01-09 01:00:00", "b"), ("no time", "a"), (None, "b")]
+
+
+@pytest.mark.parametrize("window,mode", [("tumbling", "complete"), ("sliding", "complete"), ("sessions", "append")])
+def test_windows_as_streams(spark, tmp_path, window, mode):
+    """A stream gives the windows of the batch: all of them as a complete result, or those behind the watermark."""
+    from tidewire.streaming import pipeline as P
+
+    df = spark.createDataFrame(EVENTS, "publishedAt string, source_name string")
+    of = getattr(P, window)
+    want = {tuple(r) for r in of(P.event_time(df), "source_name").collect()}
+    stream = of(P.event_time(_stream(spark, tmp_path, df)), "source_name")
+    name = f"out_{window}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start().awaitTermination()
+    got = [tuple(r) for r in spark.table(name).collect()]
+    assert len(got) == len(set(got)) > 0
+    assert set(got) == (want if mode == "complete" else {w for w in want if str(w[0]) < "2024-01-07"})
+
+
+def test_stored_columns_on_a_stream(spark, tmp_path):
+    """All 17 stored columns with a model's score, as a stream and as a batch."""
+    from tidewire.ml import sentiment as S
+    from tidewire.streaming import pipeline as P
+
+    learn = [(i, "good profit rise here" if i % 2 else "bad loss fall here", 2 if i % 2 else -2) for i in range(60)]
+    model, _, _ = S.train(S.training_rows(spark.createDataFrame(learn, "sentence_id bigint, sentence string, Sentiment_Result int")), iterations=10)
+    rows = [
+        (1, "2024-01-05T10:00:00Z", "A title", None, "http://www.thestar.com/2024/1/5/x", "Tan Ah Kow of Kilang Minyak Berhad said in Kota Bharu on 5 January that good profit rise came. It was RM5 million."),
+        (2, None, "T", "d", None, "bad loss fall here for all. Nothing more was told to them."), (3, None, None, "d", "u", "No title is here at all."), (4, None, "t", None, "u", None), (5, None, "t", None, "u", ""),
+    ]
+    df = spark.createDataFrame(rows, "msg_id bigint, publishedAt string, title string, description string, url string, content string")
+    want = P.scored(df, model)
+    assert want.columns == ["msg_id", *P.STORED] and len(P.STORED) == 17
+    first = want.filter("msg_id = 1").first()
+    assert (first.organizations_mentioned, first.locations_mentioned, first.dates_mentioned, first.source) == (["Tan Ah Kow of Kilang Minyak Berhad"], ["Kota Bharu"], ["5 January"], "The Star")
+    assert {r.Sentiment_Result for r in want.filter("sentence LIKE '%fall%'").collect()} == {-2}
+    P.to_parquet(P.scored(_stream(spark, tmp_path, df), model), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
+
+
+def test_first_delivered(spark):
+    rows = [(3, 10, "u", "2024-01-01 00:00:00", "x"), (1, 20, "u", "2024-01-01T00:00:00Z", "y"), (2, 10, "u", "2024-01-01 00:00:00", "z"), (4, 5, None, None, None), (5, 5, "", "2024-01-01 00:00:00", None), (6, 5, "u", "never", None)]
+    df = spark.createDataFrame(rows, "msg_id bigint, kafka_ts bigint, url string, publishedAt string, content string").withColumn("_first", F.lit(1))
+    assert sorted(r.msg_id for r in exactly_once(df).collect()) == [1, 4, 5, 6]
+    got = exactly_once(df, ("kafka_ts", "msg_id"))
+    assert sorted(r.msg_id for r in got.collect()) == [2, 4, 5, 6] and got.columns == df.columns
+    assert exactly_once(df.limit(0)).count() == 0
+
+
+def test_pages_that_answer(spark):
+    from tidewire.functions.html import readable
+
+    rows = [(200, "text/html"), (301, "TEXT/HTML; charset=x"), (403, "text/html"), (404, "text/html"), (429, "text/html"), (500, "text/html"), (200, "application/pdf"), (None, "text/html"), (200, None)]
+    assert [r.status for r in readable(spark.createDataFrame(rows, "status int, content_type string")).collect()] == [200, 301]
+
+
+def test_entities_without_a_model(spark):
+    texts = ["Johaizopar Logistics Company met the Bank of Selandar Group near Port Selandar on Monday, 5 March 2024 and 2024-03-06.", "nothing here", "", None]
+    assert values(spark, E.organisations(F.col("x")), texts) == [["Johaizopar Logistics Company", "Bank of Selandar Group"], [], [], None]
+    assert values(spark, E.places(F.col("x")), texts) == [["Port Selandar"], [], [], None]
+    assert values(spark, E.dates(F.col("x")), texts) == [["Monday", "5 March 2024", "2024-03-06"], [], [], None]
+    assert values(spark, E.teacher_class(F.col("x")), ["Very Positive", "very negative", "neutral", "mixed", "", None]) == [5, 1, 3, 3, 3, 3]
+
+
+def test_topics_joined_back(spark):
+    from tidewire.ml import topics as T_
+
+    articles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, url string")
+    found = spark.createDataFrame([("a", 0), ("b", 7)], "url string, dominant_topic int")
+    labels = spark.createDataFrame([(0, "oil, gas")], "dominant_topic int, topic_label string")
+    got = {r.id: (r.dominant_topic, r.topic_label) for r in T_.with_topics(articles, found, labels).collect()}
+    assert got == {1: (0, "oil, gas"), 2: (7, "Unknown Topic 7"), 3: (None, "N/A"), 4: (None, "N/A")}
+    assert {(r.dominant_topic, r.topic_label) for r in T_.without_topics(articles).collect()} == {(None, "N/A")}
+    again = T_.with_topics(T_.without_topics(articles), found, labels)
+    assert {r.id: r.topic_label for r in again.collect()} == {k: v for k, (_, v) in got.items()}
+
+
+def test_graph_tables(spark, tmp_path):
+    from tidewire.sources.files import collections
+
+    df = sentences(spark, [{"url": "u", "Sentiment_Result": 1, "people_mentioned": ["A"]}, {"url": "u", "people_mentioned": ["A", "B"]}, {"url": "v"}])
+    for _ in range(2):
+        G.write_graph(df, str(tmp_path / "graph"))
+    assert collections(spark, str(tmp_path / "graph")) == ["edges", "nodes", "posts", "sources"] and collections(spark, str(tmp_path / "none")) == []
+    read = lambda name: spark.read.parquet(str(tmp_path / "graph" / name))
+    assert read("posts").count() == 2 and read("edges").filter("type = 'person'").count() == 2
+    assert [tuple(r) for r in G.repeated_keys(read("nodes"), "node", "type", "name").collect()] == [("node", read("nodes").count(), 0)]
+    more = read("edges").select("type", "url", "name").unionByName(spark.createDataFrame([("person", "w", "C"), ("person", "u", "C")], "type string, url string, name string"))
+    assert {r.type: (r.edges, r.no_post, r.no_node) for r in G.broken(more, read("posts"), read("nodes")).collect()}["person"] == (4, 1, 2)
+    assert [tuple(r) for r in G.repeated_keys(df, "run", "url").collect()] == [("run", 3, 2)]
+
+
+def test_drained_topic(spark, tmp_path):
+    from tidewire.sources import kafka
+
+    spark.conf.set("tidewire.messages.dir", str(tmp_path))
+    kafka.write_topic(spark.createDataFrame([("a", "u"), ("b", None)], "title string, url string"), "pages")
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    got = kafka.drain(spark, "pages", StructType([StructField("title", StringType())]))
+    assert got.count() == 2 and sorted(r.title for r in got.limit(3).collect()) == ["a", "b"]
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from tidewire import session
+
+    unset = N(get=lambda name, other=None: other)
+    known = N(isDefined=lambda: False)
+    context = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: known)), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        session.checkpoint_folder(N(conf=unset, sparkContext=context))
+
+
 def test_sentiment_model(spark, tmp_path):
     from tidewire.ml import sentiment as S
 

@@ -83,6 +83,14 @@ def project_names(content: Column) -> Column:
 
 
 ENTITY = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+_NAME = r"[A-Z][a-zA-Z'-]+"
+ORGANISATION = (
+    rf"{_NAME}(?: (?:of|and|for|the|&|{_NAME}))* (?:Corporation|Corp|Company|Co|Incorporated|Inc|Limited|Ltd|Berhad|Bhd|Group|Holdings|Bank|Ministry|Authority|Council|Board|University"
+    rf"|Agency|Department|Association|Union|Institute|Commission)\b"
+)
+PLACE = rf"\b(?:in|at|near|from|outside|off) ((?:{_NAME})(?: {_NAME})*)"
+_MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+DATE = rf"\b(?:\d{{1,2}} {_MONTH}(?: \d{{4}})?|{_MONTH}(?: \d{{1,2}}\b)?(?:,? \d{{4}})?|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}})"
 MONEY = r"(?:RM|US\$|\$)\s?[0-9][0-9,.]*(?: (?:million|billion))?"
 
 
@@ -95,6 +103,21 @@ def proper_names(text: Column, n: int = 10) -> Column:
     return first_unique(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), n)
 
 
+def organisations(text: Column, n: int = 10) -> Column:
+    """The first ``n`` different runs of capitalised words that end in a company's or a public body's word."""
+    return first_unique(F.regexp_extract_all(text, F.lit(ORGANISATION), F.lit(0)), n)
+
+
+def places(text: Column, n: int = 10) -> Column:
+    """The first ``n`` different capitalised names behind a word of place, or with a word of place in front."""
+    return first_unique(F.regexp_extract_all(text, F.lit(PLACE), F.lit(1)), n)
+
+
+def dates(text: Column, n: int = 10) -> Column:
+    """The first ``n`` different days, months and numeric dates."""
+    return first_unique(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), n)
+
+
 def money(text: Column, n: int = 10) -> Column:
     """The first ``n`` different amounts of money."""
     return first_unique(F.regexp_extract_all(text, F.lit(MONEY), F.lit(0)), n)
@@ -104,6 +127,16 @@ def sentiment_label(score: Column, null_label: str = "negative") -> Column:
     return F.when(score > 0, "positive").when(score == 0, "neutral").when(score < 0, "negative").otherwise(null_label)
 
 
+#: The classes of the teacher's labels.
+TEACHER_CLASSES = {"very negative": 1, "negative": 2, "neutral": 3, "positive": 4, "very positive": 5}
+
+
+def teacher_class(label: Column) -> Column:
+    """The class 1..5 of a teacher's label in any case; 3 for others and for null."""
+    known = F.create_map(*[F.lit(x) for pair in TEACHER_CLASSES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(label)), F.lit(3))
+
+
 def score_of_prediction(prediction: Column) -> Column:
     """Classes 1..5 as scores -2..2; null stays null."""
     return prediction.cast("int") - 3

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewire.functions import wordlists as L
 
@@ -78,6 +79,14 @@ def extract(html: str | None) -> tuple[str, list[str]]:
     return page.title.strip() or "No Title Found", page.paragraphs
 
 
+def readable(fetched: DataFrame) -> DataFrame:
+    """Answers (status, content_type, ...) that hold a page: a status below 400 and an HTML type, in any case.
+
+    A null status or type is no page. Two native predicates, which a scan of stored answers pushes down in part.
+    """
+    return fetched.filter((F.col("status") < 400) & F.lower("content_type").contains("text/html"))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(url, title, paragraphs) of pages (url, html), where they are read; every paragraph counts, the first one too."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from tidewire.functions import wordlists as L
 #: Splits a text after every sentence end, so that the parts join to the text again.
 PARTS = r"(?<=[.?!])"
 TRAIN_SPLIT = r"[.?!]\s+|\n+"
+#: The ASCII signs other than letters, digits, white space and .,?!;:()'"- one by one, which Java matches by a bit set.
+ODD = "[" + "".join(f"\\x{c:02X}" for c in [*range(9), *range(14, 32), *b"#$%&*+/<=>@[\\]^_`{|}~", 127]) + "]"
 STREAM_SPLIT = r"(?<=[.!?])\s+(?=[A-Z])"
 
 
@@ -48,10 +52,26 @@ def without_keyword_sentences(text: Column, words: list[str]) -> Column:
     only from texts that contain them. A last part without a sentence end stays.
     """
     keyword = rf"\b{prefix_tree([w.lower() for w in words if not re.search(r'[.?!]', w)])}\b"
-    keep = F.filter(F.split(text, PARTS), lambda p: ~(F.lower(p).rlike(keyword) & p.rlike(r"[.?!]$")))
-    out = F.array_join(keep, "")
-    inner = alternation(words, dotted=True)
-    return F.when(out.rlike(f"(?i){inner}"), F.regexp_replace(out, rf"(?i)(?<![^.?!])[^.?!]*\b(?:{inner})\b[^.?!]*[.?!]", "")).otherwise(out) if inner else out
+    keep = lambda t: F.filter(F.split(t, PARTS), lambda p: ~(F.lower(p).rlike(keyword) & p.rlike(r"[.?!]$")))
+    out = once(text, lambda t: F.when(F.lower(t).rlike(keyword), F.array_join(keep(t), "")).otherwise(t))
+    dotted = [w for w in words if re.search(r"[.?!]", w)]
+    inner = alternation(dotted)
+    return replaced(out, rf"(?i)(?<![^.?!])[^.?!]*\b(?:{inner})\b[^.?!]*[.?!]", dotted) if inner else out
+
+
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` computed once, however often ``of`` names it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def replaced(text: Column, pattern: str, words: list[str]) -> Column:
+    """``text`` without the matches of ``pattern``, each of which holds one of ``words`` in some case. Texts that contain
+    none, which plain search tells fast, aren't matched at all."""
+
+    def guarded(t: Column, lower: Column) -> Column:
+        return F.when(functools.reduce(lambda a, b: a | b, [lower.contains(w.lower()) for w in words]), F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return once(text, lambda t: once(F.lower(t), lambda lower: guarded(t, lower)))
 
 
 def _white(text: Column) -> Column:
@@ -64,10 +84,10 @@ def clean_text(text: Column) -> Column:
     Null gives an empty text.
     """
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]+", "")
-    out = F.regexp_replace(out, "|".join(L.LEGAL), "")
-    out = F.regexp_replace(out, r"[^a-zA-Z0-9\s.,?!;:()'\"-]", "")
+    out = replaced(out, "|".join(L.LEGAL), L.LEGAL)
+    out = F.regexp_replace(out, ODD, "")
     out = without_keyword_sentences(out, L.NON_ARTICLE)
-    return _white(F.regexp_replace(out, rf"(?i)\b{prefix_tree(L.FAQ)}\b", ""))
+    return _white(replaced(out, rf"(?i)\b{prefix_tree(L.FAQ)}\b", L.FAQ))
 
 
 def clean_page(text: Column, least_words: int = 15) -> Column:
@@ -75,8 +95,8 @@ def clean_page(text: Column, least_words: int = 15) -> Column:
     out = without_keyword_sentences(text, L.NON_ARTICLE + L.NON_ARTICLE_PAGES)
     for statement in L.STATEMENTS:
         out = F.replace(out, F.lit(statement), F.lit(""))
-    out = F.regexp_replace(out, rf"(?i)\b{prefix_tree(L.FAQ)}\b", "")
-    out = F.regexp_replace(out, rf"(?i)\b(?:{'|'.join(L.LEGAL)})\b", "")
+    out = replaced(out, rf"(?i)\b{prefix_tree(L.FAQ)}\b", L.FAQ)
+    out = replaced(out, rf"(?i)\b(?:{'|'.join(L.LEGAL)})\b", L.LEGAL)
     out = _white(F.regexp_replace(out, r"[^\x00-\x7F]+", ""))
     return F.when((out != "") & (F.size(F.split(out, " ")) >= least_words), out)
 

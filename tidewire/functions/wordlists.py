@@ -65,9 +65,16 @@ TOPIC_STOP_WORDS = [
     "pct", "news", "report", "update", "inc", "bhd",
 ]
 # Tags and classes whose text isn't part of an article.
-HTML_TAGS = "footer aside nav form header script style noscript".split()
-HTML_CLASSES = "subscription newsletter comments related-articles advertisement popup banner sponsored social-media more-articles alerts".split()
-HTML_DIV_CLASSES = "topic acknowledgment external-source time-zone multilingual search manage-alerts article-commenting breaking-news article-comments affiliate-links".split()
-HTML_TEXTLESS = (
-    "img picture figure figcaption video audio source track iframe embed object h1 h2 h3 h4 h5 h6 a ul ol li table thead tbody tr th td button svg canvas"
-).split()
+HTML_TAGS = ["footer", "aside", "nav", "form", "header", "script", "style", "noscript"]
+HTML_CLASSES = [
+    "subscription", "newsletter", "comments", "related-articles", "advertisement", "popup", "banner", "sponsored",
+    "social-media", "more-articles", "alerts",
+]
+HTML_DIV_CLASSES = [
+    "topic", "acknowledgment", "external-source", "time-zone", "multilingual", "search", "manage-alerts",
+    "article-commenting", "breaking-news", "article-comments", "affiliate-links",
+]
+HTML_TEXTLESS = [
+    "img", "picture", "figure", "figcaption", "video", "audio", "source", "track", "iframe", "embed", "object", "h1", "h2",
+    "h3", "h4", "h5", "h6", "a", "ul", "ol", "li", "table", "thead", "tbody", "tr", "th", "td", "button", "svg", "canvas",
+]

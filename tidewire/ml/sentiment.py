@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.enrich import score_of_prediction
+from tidewire.session import cut
 
 
 def training_rows(sentences: DataFrame) -> DataFrame:
@@ -32,12 +33,10 @@ def split(rows: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[Dat
 
 def train(rows: DataFrame, vocabulary: int = 10_000, iterations: int = 1_000) -> tuple[PipelineModel, float, float]:
     """The model and its accuracy on training and test rows."""
-    fit, held = (x.persist() for x in split(rows))
+    fit, held = split(cut(rows))
     model = pipeline(vocabulary, iterations).fit(fit)
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
     scores = [accuracy.evaluate(model.transform(x)) for x in (fit, held)]
-    fit.unpersist()
-    held.unpersist()
     return model, scores[0], scores[1]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.wordlists import TOPIC_STOP_WORDS
+from tidewire.session import cut
 
 
 def topics(articles: DataFrame, key: str, text: str, k: int = 5, iterations: int = 15, vocabulary: int = 5_000, least_documents: float = 5.0, seed: int = 42) -> DataFrame:
@@ -22,7 +23,7 @@ def topics(articles: DataFrame, key: str, text: str, k: int = 5, iterations: int
     stop = StopWordsRemover.loadDefaultStopWords("english") + TOPIC_STOP_WORDS
     kept = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=stop).transform(words)
     counter = CountVectorizer(inputCol="_kept", outputCol="features", vocabSize=vocabulary, minDF=least_documents).fit(kept)
-    counted = counter.transform(kept).select(key, "features").persist()
+    counted = cut(counter.transform(kept).select(key, "features"))
     model = LDA(k=k, maxIter=iterations, seed=seed).fit(counted)
     stops = set(stop)
     named = []
@@ -33,3 +34,22 @@ def topics(articles: DataFrame, key: str, text: str, k: int = 5, iterations: int
     found = model.transform(counted).select(key, (F.array_position(shares, F.array_max(shares)) - 1).cast("int").alias("dominant_topic"))
     labels = articles.sparkSession.createDataFrame(named, "dominant_topic int, topic_label string")
     return found.join(F.broadcast(labels), "dominant_topic", "left").select(key, "dominant_topic", "topic_label")
+
+
+def with_topics(articles: DataFrame, found: DataFrame, labels: DataFrame, key: str = "url") -> DataFrame:
+    """``articles`` with ``dominant_topic`` and ``topic_label``, joined back on ``key``.
+
+    ``found`` has (key, dominant_topic), one row a key; ``labels`` has (dominant_topic, topic_label), a row for each topic
+    of a model. A topic without a label is 'Unknown Topic n', an article without a topic 'N/A'.
+    """
+    named = found.select(key, "dominant_topic").join(labels.select("dominant_topic", "topic_label"), "dominant_topic", "left")
+    label = F.coalesce("topic_label", F.concat(F.lit("Unknown Topic "), "dominant_topic"), F.lit("N/A"))
+    return articles.drop("dominant_topic", "topic_label").join(named, key, "left").withColumn("topic_label", label)
+
+
+def without_topics(articles: DataFrame) -> DataFrame:
+    """``articles`` with empty topic columns where there are none, as when no model could be fitted."""
+    for column, value in (("dominant_topic", F.lit(None).cast("int")), ("topic_label", F.lit("N/A"))):
+        if column not in articles.columns:
+            articles = articles.withColumn(column, value)
+    return articles

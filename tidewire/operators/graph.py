@@ -95,6 +95,35 @@ def dangling(edge_table: DataFrame, post_table: DataFrame) -> DataFrame:
     return edge_table.join(post_table.select("url"), "url", "left_anti")
 
 
+def nodes(edge_table: DataFrame) -> DataFrame:
+    """(type, name): every node that is no post, once."""
+    return edge_table.select("type", "name").distinct()
+
+
+def broken(edge_table: DataFrame, post_table: DataFrame, node_table: DataFrame) -> DataFrame:
+    """(type, edges, no_post, no_node): the edges of each type, and how many lack a post or a node of their type."""
+    posts_ = post_table.select("url", F.lit(1).alias("_post")).distinct()
+    nodes_ = node_table.select("type", "name", F.lit(1).alias("_node")).distinct()
+    joined = edge_table.join(posts_, "url", "left").join(nodes_, ["type", "name"], "left")
+    return joined.groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("_post").isNull()).alias("no_post"), F.count_if(F.col("_node").isNull()).alias("no_node"))
+
+
+def repeated_keys(table: DataFrame, label: str, *key: str) -> DataFrame:
+    """(label, nodes, repeated): the rows of a node table and how many share their key with another."""
+    per = table.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated")).select(F.lit(label).alias("label"), "nodes", "repeated")
+
+
+def write_graph(sentences: DataFrame, folder: str) -> None:
+    """Posts, nodes and edges as tables under ``folder``, edges parted by type. Writing again replaces them, so that a
+    repeated load leaves one node for each key."""
+    found = edges(sentences)
+    posts(sentences).write.mode("overwrite").parquet(f"{folder}/posts")
+    source_nodes(sentences).write.mode("overwrite").parquet(f"{folder}/sources")
+    nodes(found).write.mode("overwrite").parquet(f"{folder}/nodes")
+    found.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
+
+
 def degree(edge_table: DataFrame, name: str, count: str, n: int | None = None) -> DataFrame:
     """Posts per node, most first; ties by name."""
     out = edge_table.groupBy(F.col("name").alias(name)).agg(F.count(F.lit(1)).alias(count)).orderBy(F.desc(count), name)

@@ -120,6 +120,21 @@ def keyword_sentences(sentences: DataFrame, keywords: list[str], n: int = 10, st
     return rows.groupBy("cleaned_title").agg(F.count(F.lit(1)).alias("sentences"), *first).orderBy(F.desc("publishedAt"), "cleaned_title").limit(n)
 
 
+def keyword_rows(sentences: DataFrame, keywords: list[str], start: str | None = None, end: str | None = None, literal: bool = False) -> DataFrame:
+    """The sentences behind ``keyword_sentences``, one a row."""
+    rows = labelled(sentences).filter(F.col("sentence").rlike(_pattern(keywords, literal)))
+    if start and end:
+        rows = rows.filter(F.col("publishedAt").between(start, end))
+    return rows.select("sentence_id", "cleaned_title", "sentence", "sentiment_label")
+
+
+def keyword_urls(sentences: DataFrame, keyword: str, literal: bool = False) -> DataFrame:
+    """The different addresses behind ``keyword_search``, one a row."""
+    p = _pattern([keyword], literal)
+    rows = sentences.filter(F.col("cleaned_title").rlike(p) | F.col("cleaned_description").rlike(p))
+    return rows.filter(F.col("url").isNotNull()).select("cleaned_title", "url").distinct()
+
+
 def daily(sentences: DataFrame) -> DataFrame:
     """By day and title: sentences, mean score, and the labels in number and percent."""
     rows = labelled(sentences).groupBy(F.substring("publishedAt", 1, 10).alias("day"), F.col("cleaned_title").alias("title"))
@@ -152,10 +167,11 @@ def monthly(sentences: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Rows by value of ``column`` and their share of all in percent. The total is counted first, so that no window has
-    to bring all values into one task."""
+    """Rows by value of ``column`` and their share of all in percent. The total is a scalar subquery over the grouped
+    counts, so no window brings all values into one task."""
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    return counted.withColumn("percent", F.col("count") * 100.0 / F.lit(df.count())).orderBy(F.desc("count"), column)
+    total = counted.agg(F.sum("count")).scalar()
+    return counted.withColumn("percent", F.col("count") * 100.0 / total).orderBy(F.desc("count"), column)
 
 
 def top_share(df: DataFrame, column: str, n: int) -> DataFrame:

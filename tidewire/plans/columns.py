@@ -42,6 +42,16 @@ def _exploded(spark, sf):
     return found.filter("sentence IS NOT NULL")
 
 
+#: Labels of a teacher by score -2..2, in mixed case, the first of them unknown.
+_TEACHER = ["Very Negative", "negative", "NEUTRAL", "positive", "Very Positive"]
+
+
+def _teacher(spark, sf):
+    """The teacher's classes of its labels; the labels are spelled out from the stored scores, null ones are no label."""
+    label = F.element_at(F.array(*[F.lit(x) for x in [*_TEACHER, "mixed"]]), F.coalesce(F.col("Sentiment_Result"), F.lit(3)) + 3)
+    return table(spark, sf, "enriched_sentences").select("sentence_id", E.teacher_class(label).alias("class"))
+
+
 c = F.col
 QUERIES = {
     "remove_boilerplate": _boilerplate,
@@ -64,6 +74,8 @@ QUERIES = {
     "url_date": _messages(lambda: [E.url_date(c("url")).alias("day")]),
     "project_names": _messages(lambda: [E.project_names(c("content")).alias("projects")]),
     "entities_regex": _messages(lambda: [E.proper_names(c("content")).alias("names"), E.money(c("content")).alias("amounts")]),
+    "entities_gazetteer": _messages(lambda: [E.organisations(c("content")).alias("organizations"), E.places(c("content")).alias("places"), E.dates(c("content")).alias("dates")]),
+    "teacher_class": _teacher,
     "sentiment_label": lambda spark, sf: table(spark, sf, "enriched_sentences").select("sentence_id", E.sentiment_label(c("Sentiment_Result")).alias("label"), E.sentiment_label(c("Sentiment_Result"), "unknown").alias("strict_label")),
     "score_map": lambda spark, sf: table(spark, sf, "enriched_sentences").select("sentence_id", E.score_of_prediction((c("Sentiment_Result") + 3).cast("double")).alias("score")),
     "pub_day": _messages(lambda: [E.pub_day(c("publishedAt")).alias("day")]),
@@ -135,6 +147,9 @@ SQL = {
     "project_names": f"WITH t AS (SELECT msg_id, list_transform(regexp_extract_all(content, '{_Q(E.PROJECT)}', 1), lambda x: trim(x)) AS p FROM kafka_schema) SELECT msg_id, {_UNIQUE.format('p')} AS projects FROM t",
     "entities_regex": f"""WITH t AS (SELECT msg_id, regexp_extract_all(content, '{E.ENTITY}') AS n, regexp_extract_all(content, '{E.MONEY}') AS m FROM kafka_schema)
         SELECT msg_id, {_UNIQUE.format('n')}[1:10] AS names, {_UNIQUE.format('m')}[1:10] AS amounts FROM t""",
+    "entities_gazetteer": f"""WITH t AS (SELECT msg_id, regexp_extract_all(content, '{_Q(E.ORGANISATION)}') AS o, regexp_extract_all(content, '{_Q(E.PLACE)}', 1) AS p, regexp_extract_all(content, '{_Q(E.DATE)}') AS d FROM kafka_schema)
+        SELECT msg_id, {_UNIQUE.format('o')}[1:10] AS organizations, {_UNIQUE.format('p')}[1:10] AS places, {_UNIQUE.format('d')}[1:10] AS dates FROM t""",
+    "teacher_class": "SELECT sentence_id, (coalesce(Sentiment_Result, 0) + 3)::INTEGER AS class FROM enriched_sentences",
     "sentiment_label": """SELECT sentence_id, CASE WHEN Sentiment_Result > 0 THEN 'positive' WHEN Sentiment_Result = 0 THEN 'neutral' ELSE 'negative' END AS label,
         CASE WHEN Sentiment_Result > 0 THEN 'positive' WHEN Sentiment_Result = 0 THEN 'neutral' WHEN Sentiment_Result < 0 THEN 'negative' ELSE 'unknown' END AS strict_label FROM enriched_sentences""",
     "score_map": "SELECT sentence_id, Sentiment_Result AS score FROM enriched_sentences",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidewire.operators import graph as G
 from tidewire.operators import quality as Q
@@ -52,8 +52,31 @@ def _summary(spark, sf):
     return m.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(m.columns)).alias("columns"), F.min("kafka_ts").alias("first"), F.max("kafka_ts").alias("last"))
 
 
+def _mentions_of_runs(spark, sf):
+    """Edges of the extraction runs, a table of their own, against posts and nodes of the stored sentences: runs know
+    articles and names that no sentence has."""
+    stored = table(spark, sf, "enriched_sentences")
+    known = G.edges(stored)
+    runs = table(spark, sf, "extracted_entities")
+    parts = [G.mention_edges(runs, kind).select(F.lit(kind).alias("type"), "url", "name") for kind in G.MENTIONS]
+    return G.broken(parts[0].unionByName(parts[1]).unionByName(parts[2]), G.posts(stored), G.nodes(known))
+
+
+def _unique_nodes(spark, sf):
+    stored = table(spark, sf, "enriched_sentences")
+    runs = table(spark, sf, "extracted_entities").filter("url IS NOT NULL")
+    checks = [G.repeated_keys(G.posts(stored), "post", "url"), G.repeated_keys(G.source_nodes(stored), "source", "domain"), G.repeated_keys(G.nodes(G.edges(stored)), "node", "type", "name"), G.repeated_keys(runs, "run", "url")]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2]).unionByName(checks[3])
+
+
+def _props(spark, sf):
+    """The JSON property bag of events, parsed by a fixed schema; what is no JSON counts as null."""
+    key = F.from_json("props", StructType([StructField("k", LongType())]))["k"]
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(key).alias("parsed"), F.count_distinct(key).alias("keys"), F.sum(key).alias("sum_of_keys"))
+
+
 def _events(spark, sf):
-    """The JSON property bag of events, parsed by a fixed schema."""
+    """Events, users and cents of each type."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
@@ -67,11 +90,14 @@ QUERIES = {
     "project_ordered": _s(lambda s: Q.ordered(s, ["sentence_id", *STORED, "no_such_column"])),
     "article_class": _s(lambda s: G.article_sentiment(s).groupBy("sentiment").agg(F.count(F.lit(1)).alias("articles"))),
     "source_short_name": _s(lambda s: G.source_nodes(s.withColumn("source", F.lit("Other")))),
-    "scan_parquet": lambda spark, sf: table(spark, sf, "kafka_schema").filter("batch_id >= 100").select("msg_id", "batch_id", "source_name"),
+    "scan_parquet": lambda spark, sf: table(spark, sf, "kafka_schema").select("msg_id", "batch_id", "source_name"),
     "load_summary": _summary,
     "struct_flatten": _structs,
     "json_parse": _json,
     "events_by_type": _events,
+    "events_props": _props,
+    "edge_broken": _mentions_of_runs,
+    "node_uniqueness": _unique_nodes,
     "quality_metrics": lambda spark, sf: Q.metrics(table(spark, sf, "kafka_schema"), ["url", "content", "title", "publishedAt", "no_such_column"]),
     "quality_cleaned": lambda spark, sf: Q.cleaned(table(spark, sf, "kafka_schema")).select("msg_id", "url"),
     "dup_sentences": lambda spark, sf: Q.repeats(table(spark, sf, "enriched_sentences"), "sentence"),
@@ -133,11 +159,19 @@ SQL = {
     "project_ordered": f"SELECT sentence_id, {', '.join(STORED)} FROM {_E}",
     "article_class": f"SELECT {_CLASS} AS sentiment, count(*) AS articles FROM ({_MEAN}) GROUP BY 1",
     "source_short_name": f"SELECT DISTINCT trim(source_domain) AS domain, split_part(replace(trim(source_domain), 'www.', ''), '.', 1) AS name FROM {_E} WHERE trim(source_domain) <> ''",
-    "scan_parquet": "SELECT msg_id, batch_id, source_name FROM kafka_schema WHERE batch_id >= 100",
+    "scan_parquet": "SELECT msg_id, batch_id, source_name FROM kafka_schema",
     "load_summary": "SELECT count(*) AS rows, 11 AS columns, min(kafka_ts) AS first, max(kafka_ts) AS last FROM kafka_schema",
     "struct_flatten": "SELECT entity_row_id, people_mentioned AS people, organizations_mentioned AS organizations, locations_mentioned AS locations FROM extracted_entities",
     "json_parse": "SELECT msg_id, " + ", ".join(f"CASE WHEN msg_id % 10 <> 0 THEN {c} END AS {c}" for c in ("title", "url", "publishedAt", "source_name")) + " FROM kafka_schema",
     "events_by_type": "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY event_type",
+    "events_props": "SELECT event_type, count(k) AS parsed, count(DISTINCT k) AS keys, sum(k)::BIGINT AS sum_of_keys FROM (SELECT event_type, (props->>'k')::BIGINT AS k FROM events) GROUP BY event_type",
+    "edge_broken": "WITH e AS (" + " UNION ALL ".join(f"SELECT '{k}' AS type, url, name FROM ({_EDGE[k].replace(_E, 'extracted_entities')})" for k in ("person", "org", "location"))
+    + "), n AS (" + " UNION ".join(f"SELECT '{k}' AS type, name FROM ({_EDGE[k]})" for k in ("person", "org", "location"))
+    + f"""), p AS (SELECT DISTINCT url AS post FROM {_E} WHERE url IS NOT NULL)
+        SELECT e.type, count(*) AS edges, count(*) FILTER (post IS NULL) AS no_post, count(*) FILTER (n.name IS NULL) AS no_node FROM e LEFT JOIN p ON post = url LEFT JOIN n ON n.type = e.type AND n.name = e.name GROUP BY e.type""",
+    "node_uniqueness": f"""SELECT 'post' AS label, count(DISTINCT url) AS nodes, 0::BIGINT AS repeated FROM {_E} UNION ALL SELECT 'source', count(DISTINCT trim(source_domain)), 0 FROM {_E} WHERE trim(source_domain) <> ''
+        UNION ALL SELECT 'node', count(*), 0 FROM (""" + " UNION ".join(f"SELECT '{k}' AS type, name FROM ({v})" for k, v in _EDGE.items())
+    + """) UNION ALL SELECT 'run', sum(n)::BIGINT, (sum(n) FILTER (n > 1))::BIGINT FROM (SELECT count(*) AS n FROM extracted_entities WHERE url IS NOT NULL GROUP BY url)""",
     "quality_metrics": "SELECT count(*) AS rows, " + ", ".join(f"count(*) FILTER ({c} IS NULL OR {c} = '') AS empty_{c}" for c in ("url", "content", "title", "publishedAt"))
     + ", count(*) FILTER (NOT regexp_matches(url, '^https?://.+')) AS invalid_urls, count(DISTINCT url) AS distinct_urls, count(url) - count(DISTINCT url) AS repeated_urls, count(*) FILTER (length(content) < 20) AS short_texts FROM kafka_schema",
     "quality_cleaned": "SELECT msg_id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY msg_id) AS k FROM kafka_schema WHERE regexp_matches(url, '^https?://.+')) WHERE k = 1 AND length(content) >= 20",

@@ -14,8 +14,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_exactly_once(spark: SparkSession, sf: str) -> DataFrame:
-    kept = exactly_once(table(spark, sf, "kafka_schema"))
-    return kept.select("msg_id", "msg_partition", "msg_offset", "batch_id", "url", "publishedAt", "source_name")
+    return exactly_once(table(spark, sf, "kafka_schema").select("msg_id", "msg_partition", "msg_offset", "batch_id", "url", "publishedAt", "source_name"))
+
+
+def p6_first_delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """The copy of each message that was delivered first, by time of delivery, equal times by id."""
+    messages = table(spark, sf, "kafka_schema").select("msg_id", "kafka_ts", "url", "publishedAt")
+    return exactly_once(messages, ("kafka_ts", "msg_id")).select("msg_id", "kafka_ts")
 
 
 def p6_copies_by_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,11 +34,11 @@ def p6_copies_by_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p6_exactly_once": p6_exactly_once, "p6_copies_by_batch": p6_copies_by_batch}
+QUERIES = {"p6_found": p6_found, "p6_exactly_once": p6_exactly_once, "p6_first_delivered": p6_first_delivered, "p6_copies_by_batch": p6_copies_by_batch}
 
 _KEYED = r"""
 keyed AS (
-  SELECT msg_id, url, try_cast(CASE WHEN regexp_matches(publishedAt, '(Z|[+-]\d{2}:\d{2})$')
+  SELECT msg_id, kafka_ts, url, try_cast(CASE WHEN regexp_matches(publishedAt, '(Z|[+-]\d{2}:\d{2})$')
     THEN publishedAt ELSE publishedAt || 'Z' END AS TIMESTAMPTZ) AS moment
   FROM kafka_schema
   WHERE url <> '' AND regexp_matches(publishedAt, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$')
@@ -47,6 +52,8 @@ SQL = {
     "p6_found": f"WITH {_KEYED} SELECT msg_id FROM again",
     "p6_exactly_once": f"""WITH {_KEYED} SELECT msg_id, msg_partition, msg_offset, batch_id, url, publishedAt, source_name
         FROM kafka_schema WHERE msg_id NOT IN (SELECT msg_id FROM again)""",
+    "p6_first_delivered": f"""WITH {_KEYED}, late AS (SELECT msg_id FROM (SELECT msg_id, row_number() OVER (PARTITION BY url, moment ORDER BY kafka_ts NULLS FIRST, msg_id) AS n FROM keyed WHERE moment IS NOT NULL) WHERE n > 1)
+        SELECT msg_id, kafka_ts FROM kafka_schema WHERE msg_id NOT IN (SELECT msg_id FROM late)""",
     "p6_copies_by_batch": f"""WITH {_KEYED} SELECT batch_id, count(*) AS messages, count(a.msg_id) AS copies
         FROM kafka_schema k LEFT JOIN again a USING (msg_id) GROUP BY batch_id""",
 }

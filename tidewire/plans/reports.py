@@ -17,6 +17,9 @@ QUERIES = {
     "r_positive_by_article": _over(R.strong_by_title, "positive"),
     "r_negative_by_article": _over(R.strong_by_title, "negative"),
     "r_positive_sentences": _over(R.sentences_of, "positive"),
+    "r_negative_sentences": _over(R.sentences_of, "negative"),
+    "r_keyword_sentence_rows": _over(R.keyword_rows, ["dividend", "trunk line", "court"], "2024-01-01T00:00:00Z", "2024-05-31T23:59:59Z"),
+    "r_keyword_urls": _over(R.keyword_urls, "terminal|market|gas"),
     "r_location_articles": _over(R.with_location, "Port Selandar", "Kuala Tembusu", 50),
     "r_top_categories": _over(R.top_categories, "positive", 5),
     "r_by_published_date": _over(R.by_published, 40, "2024-02-01T00:00:00Z", "2024-04-30T23:59:59Z"),
@@ -71,6 +74,11 @@ SQL = {
         FROM l GROUP BY cleaned_title) SELECT *, {_SHARES} FROM g WHERE (positive_count > 0)::INT + (neutral_count > 0)::INT + (negative_count > 0)::INT > 1""",
     "r_top_positive": "SELECT cleaned_title, count(*) AS positive_count FROM enriched_sentences WHERE Sentiment_Result > 0 GROUP BY cleaned_title ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10",
     "r_top_negative": "SELECT cleaned_title, count(*) AS negative_count FROM enriched_sentences WHERE Sentiment_Result <= -2 GROUP BY cleaned_title ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10",
+    "r_negative_sentences": "SELECT sentence_id, cleaned_title, sentence, Sentiment_Result FROM enriched_sentences WHERE Sentiment_Result < 0",
+    "r_keyword_sentence_rows": f"""WITH {_L} SELECT sentence_id, cleaned_title, sentence, sentiment_label FROM l
+        WHERE regexp_matches(sentence, '(?i)dividend|trunk line|court') AND publishedAt BETWEEN '2024-01-01T00:00:00Z' AND '2024-05-31T23:59:59Z'""",
+    "r_keyword_urls": """SELECT DISTINCT cleaned_title, url FROM enriched_sentences WHERE url IS NOT NULL
+        AND (regexp_matches(cleaned_title, '(?i)terminal|market|gas') OR regexp_matches(cleaned_description, '(?i)terminal|market|gas'))""",
     "r_keyword_search": f"""WITH {_L} SELECT cleaned_title, {_COUNTS}, {_set('sentiment_label')} AS labels, {_set('source')} AS sources, count(DISTINCT url) AS urls FROM l
         WHERE regexp_matches(cleaned_title, '(?i)terminal|market|gas') OR regexp_matches(cleaned_description, '(?i)terminal|market|gas') GROUP BY cleaned_title""",
     "r_keyword_sentences": f"""WITH {_L} SELECT cleaned_title, count(*) AS sentences, {', '.join(f'arg_min_null({c}, sentence_id) AS {c}' for c in ('sentiment_label', 'publishedAt', 'source', 'url'))} FROM l

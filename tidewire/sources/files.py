@@ -17,6 +17,13 @@ def append_documents(df: DataFrame, path: str) -> None:
     df.withColumn("inserted_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def collections(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the stored tables under ``folder``, on any file system that Spark reads; none if it doesn't exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
+
 def purge(spark: SparkSession, path: str, confirm: bool = False) -> int:
     """Overwrites the stored documents with none and returns how many there were; only with ``confirm``."""
     if not confirm:

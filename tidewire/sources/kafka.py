@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from tidewire.sources.files import json_messages
+from tidewire.sources.files import json_messages, parse_messages
 
 
 def read_topic(spark: SparkSession, topic: str, streaming: bool = True, offsets: str = "earliest") -> DataFrame:
@@ -27,3 +28,9 @@ def write_topic(df: DataFrame, topic: str) -> None:
         out.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
     else:
         out.mode("append").text(f"{spark.conf.get('tidewire.messages.dir')}/{topic}")
+
+
+def drain(spark: SparkSession, topic: str, schema: StructType) -> DataFrame:
+    """All messages of ``topic`` that there are now, parsed, and none that come later; ``count()`` and ``limit(3)`` of it are
+    the consumer's report."""
+    return parse_messages(read_topic(spark, topic, streaming=False), schema)

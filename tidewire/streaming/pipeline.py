@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewire.functions import enrich as E
 from tidewire.functions import text as T
 from tidewire.functions.times import instant
+from tidewire.ml import sentiment
+
+
+SCORE = "Sentiment_Result"
+#: The stored columns of an enriched sentence, in order.
+STORED = [
+    "publishedAt", "url", "cleaned_title", "cleaned_description", "source", "source_domain", "category", "word_count", "people_mentioned",
+    "organizations_mentioned", "locations_mentioned", "project_names", "financial_figures", "dates_mentioned", "topic_label", "sentence", SCORE,
+]
 
 
 def sentences(messages: DataFrame) -> DataFrame:
@@ -30,16 +40,25 @@ def sentences(messages: DataFrame) -> DataFrame:
             "category": E.category(F.col("cleaned_content")),
             "word_count": E.word_count(F.col("cleaned_content")),
             "people_mentioned": E.proper_names(F.col("cleaned_content")),
+            "organizations_mentioned": E.organisations(F.col("cleaned_content")),
+            "locations_mentioned": E.places(F.col("cleaned_content")),
+            "dates_mentioned": E.dates(F.col("cleaned_content")),
             "financial_figures": E.money(F.col("content")),
             "project_names": E.project_names(F.col("cleaned_content")),
             "topic_label": F.lit(None).cast("string"),
         }
     )
-    keep = ["msg_id", "publishedAt", "url", "cleaned_title", "cleaned_description", "source", "source_domain", "category", "word_count", "people_mentioned", "project_names", "financial_figures", "topic_label"]
+    keep = ["msg_id", *[c for c in STORED if c not in ("sentence", SCORE)]]
     parts = F.explode_outer(T.sentences_stream(F.col("cleaned_content"))).alias("sentence")  # explode would evaluate them twice, to filter empty lists
     return enriched.select(*[c for c in keep if c in enriched.columns], parts).filter("sentence IS NOT NULL")
 
 
+def scored(messages: DataFrame, model: PipelineModel) -> DataFrame:
+    """``sentences`` with the model's score -2..2 in SCORE: all columns that are stored, on streams and batches alike."""
+    out = sentiment.score(model, sentences(messages)).withColumnRenamed("predicted_score", SCORE)
+    return out.select("msg_id", *STORED)
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Writes a stream exactly once; without ``every`` it reads what there is and ends."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
