@@ -26,10 +26,15 @@ CLOSE, MARGIN = 0.5, 0.05
 SHARE, LEAST, MUCH = 0.3, 3, 0.45
 #: Labelled documents that seed the centroids, at most.
 MOST_LABELLED = 50_000
-#: Rows of a matrix that shuffle as one.
-ROWS = 256
-
-BAG = "doc_id bigint, lang string, terms array<int>, sentence array<int>"
+#: Subject areas whose centroids fit a task (20 MB each way); more raise an error.
+MOST_AREAS = 100_000
+#: Rows of a matrix that shuffle as one, and partial sums that are added up in one task.
+ROWS, SUMS = 64, 64
+#: A sentence's embedding is kept as whole numbers of so many parts of 1.
+PARTS = 127
+
+BAG = "doc_id bigint, lang string, terms array<smallint>, lengths array<int>"
+EMBEDDED = "doc_id bigint, n int, x binary"
 FOUND = "doc_id bigint, subject string, share double"
 
 
@@ -45,11 +50,16 @@ def bag_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each document in order, and the number of terms of each of its sentences."""
     for batch in K.by_size(batches, "text"):
         row, sentence, term = bag_of(batch.column("text"))
-        ends = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (term, sentence)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *lists], ["doc_id", "lang", "terms", "sentence"])
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (sentence[1:] != sentence[:-1])]) if len(row) else np.empty(0, np.int64)
+        lengths = np.diff(np.r_[new, len(row)])
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(batch) + 1)), pa.int32()), pa.array(v))
+            for of, v in ((row, term.astype(np.int16)), (row[new], lengths.astype(np.int32)))
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *lists], ["doc_id", "lang", "terms", "lengths"])
 
 
 @dataclass
@@ -69,6 +79,11 @@ class Rows:
         norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=n))
         return cls(row, term, (weight / np.maximum(norm[row], 1e-12)).astype(np.float32), n)
 
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, BUCKETS), np.float32)
+        out[self.row, self.term] = self.weight
+        return out
+
     def times(self, matrix: np.ndarray) -> np.ndarray:
         """Rows by the columns of ``matrix`` (terms by dimensions)."""
         out = np.zeros((self.n, matrix.shape[1]), np.float32)
@@ -77,14 +92,6 @@ class Rows:
             out[self.row[first]] = np.add.reduceat(matrix[self.term] * self.weight[:, None], first, axis=0)
         return out
 
-    def add_transposed_times(self, matrix: np.ndarray, total: np.ndarray) -> None:
-        """Adds terms by the columns of ``matrix`` (rows by dimensions) to ``total``."""
-        order = np.argsort(self.term, kind="stable")
-        if len(order):
-            term = self.term[order]
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-            total[term[first]] += np.add.reduceat(matrix[self.row[order]] * self.weight[order, None], first, axis=0)
-
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
@@ -97,36 +104,56 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.Re
             yield batch.slice(k, size)
 
 
+def _in_few(df: DataFrame) -> DataFrame:
+    """``df`` in a few partitions for each core, without a shuffle: each task of a matrix pass emits a whole matrix."""
+    most = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
+
+
 def _summed(df: DataFrame, partial, rows: int, columns: int) -> np.ndarray:
     """The sum over all tasks of the matrix that ``partial`` makes of a task's batches; blocks of rows are added up by
-    Spark, so the driver gets one matrix of ``rows`` by ``columns``."""
+    Spark in groups of SUMS, level by level, so the driver gets one matrix of ``rows`` by ``columns``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = partial(batches)
-        blocks = [m[k : k + ROWS].astype(np.float64).tobytes() for k in range(0, rows, ROWS)]
+        blocks = [m[k : k + ROWS].astype(np.float32).tobytes() for k in range(0, rows, ROWS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                m = np.frombuffer(data.as_buffer())
+                m = np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
                 total[block] = total[block] + m if block in total else m
-        data = [m.tobytes() for m in total.values()]
+        data = [m.astype(np.float32).tobytes() for m in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
     schema = "block int, data binary"
-    got = {r.block: np.frombuffer(r.data) for r in df.mapInArrow(emit, schema).repartition("block").mapInArrow(add, schema).collect()}
+    df = _in_few(df)
+    parts, sums = df.rdd.getNumPartitions(), df.mapInArrow(emit, schema)
+    while parts > SUMS:
+        parts = -(-parts // SUMS)
+        group = F.pmod(F.spark_partition_id(), F.lit(parts))
+        sums = sums.repartition(parts * max(rows // ROWS, 1), "block", group).mapInArrow(add, schema)
+    got = {r.block: np.frombuffer(r.data, np.float32).astype(np.float64) for r in sums.repartition("block").mapInArrow(add, schema).collect()}
     return np.concatenate([got[k] for k in sorted(got)]).reshape(rows, columns) if got else np.zeros((rows, columns))
 
 
 def inverse_frequencies(bags: DataFrame) -> np.ndarray:
     """The inverse document frequency of each bucket over all documents."""
-    counted = bags.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    n = bags.count()
-    df = np.zeros(BUCKETS)
-    for r in counted.collect():  # at most BUCKETS rows
-        df[r.term] = r.n
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((BUCKETS + ROWS, 1))
+        for batch in _parts(batches):
+            term, row = _lists(batch.column("terms"))
+            found = np.unique(row.astype(np.int64) * BUCKETS + term)
+            total[:BUCKETS, 0] += np.bincount(found % BUCKETS, minlength=BUCKETS)
+            total[BUCKETS] += len(batch)
+        return total
+
+    # Counts of a task are whole in single precision up to 2**24 documents; beyond, and in sums, they are as exact as weights need.
+    counted = _summed(bags.select("terms"), partial, BUCKETS + ROWS, 1)[:, 0]
+    n, df = counted[BUCKETS], counted[:BUCKETS]
     return np.where(df > 0, np.log((1 + n) / (1 + df)), 0.0)
 
 
@@ -145,7 +172,8 @@ def term_vectors(bags: DataFrame, idf: np.ndarray, dimensions: int = DIMENSIONS,
             for batch in _parts(batches):
                 term, row = _lists(batch.column("terms"))
                 a = Rows.of(row, term, idf, len(batch))
-                a.add_transposed_times(a.times(q), total)
+                m = a.dense()
+                total += m.T @ (m @ q)
             return total
 
         q, values, _ = np.linalg.svd(_summed(bags.select("terms"), partial, BUCKETS, width), full_matrices=False)
@@ -156,13 +184,35 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _sentences(batch: pa.RecordBatch, idf: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit embeddings of the sentences of a batch, and the row of each."""
-    term, row = _lists(batch.column("terms"))
-    number, _ = _lists(batch.column("sentence"))
-    key = row.astype(np.int64) << 32 | number
-    found, which = np.unique(key, return_inverse=True)
-    return _unit(Rows.of(which, term, idf, len(found)).times(vectors)), found >> 32
+def embedded(bags: DataFrame, idf: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """(doc_id, n, x): the unit embeddings of each document's sentences, a byte for each dimension."""
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            term, _ = _lists(batch.column("terms"))
+            length, row = _lists(batch.column("lengths"))
+            x = _unit(Rows.of(np.repeat(np.arange(len(length)), length), term, idf, len(length)).times(vectors))
+            whole = np.rint(x * PARTS).astype(np.int8)
+            ends = np.searchsorted(row, np.arange(len(batch) + 1))
+            data = [whole[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int32()), pa.array(data, pa.binary())], ["doc_id", "n", "x"])
+
+    return cut(bags.select("doc_id", "terms", "lengths").mapInArrow(embed, EMBEDDED))
+
+
+def _sentences(batch: pa.RecordBatch, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sentence embeddings of a batch, and the row of each."""
+    data = b"".join(batch.column("x").to_pylist())
+    x = np.frombuffer(data, np.int8).reshape(-1, dimensions).astype(np.float32)
+    return _unit(x), np.repeat(np.arange(len(batch)), batch.column("n").to_numpy())
+
+
+def _add_rows(total: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    """Adds each row of ``x`` to the row ``at`` of ``total``."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+        total[at[order][first]] += np.add.reduceat(x[order], first, axis=0)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +238,9 @@ def seed_centroids(bags: DataFrame, labels: DataFrame, areas: list[tuple[str, st
     Documents with one label count, at most MOST_LABELLED of the least doc_id; labels of unknown subjects don't.
     """
     names = [a for a, _ in areas]
+    place = {a: k for k, a in enumerate(names)}
     single = labels.groupBy("doc_id").agg(F.min("subject").alias("subject"), F.count_distinct("subject").alias("n")).filter("n = 1")
-    single = single.filter(F.col("subject").isin(names)).orderBy("doc_id").limit(MOST_LABELLED)
+    single = single.join(F.broadcast(labels.sparkSession.createDataFrame([(a,) for a in names], "subject string")), "subject").orderBy("doc_id").limit(MOST_LABELLED)
     sums: dict[tuple[int, str], np.ndarray] = {}
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +252,7 @@ def seed_centroids(bags: DataFrame, labels: DataFrame, areas: list[tuple[str, st
     total = F.array(*[F.sum(F.col("x")[k]) for k in range(vectors.shape[1])]).alias("x")
     embedded = bags.join(F.broadcast(single.select("doc_id", "subject")), "doc_id").mapInArrow(embed, "subject string, lang string, x array<double>")
     for r in embedded.groupBy("subject", F.coalesce(language(F.col("lang")), F.lit("")).alias("lang")).agg(total).collect():
-        sums[names.index(r.subject), r.lang] = np.array(r.x)
+        sums[place[r.subject], r.lang] = np.array(r.x)
     row, _, term = bag_of(pa.array([f"{a} {d}" for a, d in areas], pa.string()))
     told = _unit(Rows.of(row, term, idf, len(areas)).times(vectors))
     keys = sorted(sums)
@@ -209,19 +260,19 @@ def seed_centroids(bags: DataFrame, labels: DataFrame, areas: list[tuple[str, st
     return _unit(centroids), np.array([k[0] for k in keys] + list(range(len(areas))))
 
 
-def refine(bags: DataFrame, centroids: np.ndarray, of: np.ndarray, n: int, idf: np.ndarray, vectors: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def refine(sentences: DataFrame, centroids: np.ndarray, of: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids moved to the mean of all sentences that speak for them, ``rounds`` times; one nothing speaks for stays."""
     for _ in range(rounds):
 
         def partial(batches: Iterator[pa.RecordBatch], c: np.ndarray = centroids) -> np.ndarray:
             total = np.zeros(c.shape)
             for batch in _parts(batches):
-                x, _ = _sentences(batch, idf, vectors)
+                x, _ = _sentences(batch, c.shape[1])
                 at, _, speaks = _nearest(x, c, of, n)
-                np.add.at(total, at[speaks], x[speaks])
+                _add_rows(total, at[speaks], x[speaks])
             return total
 
-        moved = _summed(bags.select("terms", "sentence"), partial, *centroids.shape)
+        moved = _summed(sentences.select("n", "x"), partial, *centroids.shape)
         centroids = _unit(centroids + _unit(moved) * (np.linalg.norm(moved, axis=1, keepdims=True) > 0))
     return centroids
 
@@ -232,25 +283,31 @@ def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
     Terms of all documents are weighted and embedded by a truncated SVD; seed centroids from labelled documents and the
     descriptions move to the sentences near them; then each sentence speaks for its nearest subject, if it is close and
     clearly nearer than the next, and a document has the subjects of a share of its speaking sentences. A document
-    with no such subject has the one whose centroids are nearest to its sentences in sum. Null, empty and blank texts and
+    with no such subject has the one whose centroids are nearest to its sentences in sum. Sentences are embedded once.
+    Without areas there are no rows; over MOST_AREAS raise an error, as their centroids travel to the tasks. Null, empty and blank texts and
     texts without any word of the corpus have no rows. What travels to the driver is of fixed size: BUCKETS counts, one
     matrix a pass, the centroids. Other columns are ignored; repeated texts get equal subjects.
     """
-    listed = [(r.subject, r.description or "") for r in areas.select("subject", "description").orderBy("subject").limit(10_000).collect()]
+    listed = [(r.subject, r.description or "") for r in areas.select("subject", "description").orderBy("subject").limit(MOST_AREAS + 1).collect()]
+    if len(listed) > MOST_AREAS:
+        raise ValueError(f"over {MOST_AREAS} subject areas")
+    if not listed:
+        return documents.sparkSession.createDataFrame([], FOUND)
     bags = cut(documents.filter(F.col("text").rlike(r"\S")).select("doc_id", "lang", "text").mapInArrow(_bags, BAG))
     idf = inverse_frequencies(bags)
     vectors = term_vectors(bags, idf)
     centroids, of = seed_centroids(bags, labels, listed, idf, vectors)
     n = len(listed)
-    centroids = refine(bags, centroids, of, n, idf, vectors)
+    sentences = embedded(bags, idf, vectors)
+    centroids = refine(sentences, centroids, of, n)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            x, row = _sentences(batch, idf, vectors)
+            x, row = _sentences(batch, centroids.shape[1])
             _, best, speaks = _nearest(x, centroids, of, n)
             votes, lean = np.zeros((len(batch), n)), np.zeros((len(batch), n))
-            np.add.at(votes, (row[speaks], best[speaks].argmax(axis=1)), 1)
-            np.add.at(lean, row, best)
+            votes += np.bincount(row[speaks] * n + best[speaks].argmax(axis=1), minlength=len(batch) * n).reshape(-1, n)
+            _add_rows(lean, row, best)
             share = votes / np.maximum(votes.sum(axis=1, keepdims=True), 1)
             has = (share >= SHARE) & (votes >= LEAST) | (share >= MUCH)
             bare = ~has.any(axis=1) & (np.bincount(row, minlength=len(batch)) > 0)
@@ -261,4 +318,4 @@ def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
             names = pa.array([a for a, _ in listed], pa.string()).take(pa.array(subject))
             yield pa.RecordBatch.from_arrays([ids, names, pa.array(share[at, subject])], ["doc_id", "subject", "share"])
 
-    return bags.select("doc_id", "terms", "sentence").mapInArrow(assign, FOUND)
+    return sentences.mapInArrow(assign, FOUND)
