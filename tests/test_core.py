@@ -10,7 +10,7 @@ from tidewire.functions import enrich as E
 from tidewire.functions import text as T
 from tidewire.functions import wordlists as L
 from tidewire.functions.html import extract
-from tidewire.functions.language import is_english
+from tidewire.functions.language import is_english, language
 from tidewire.functions.times import instant
 from tidewire.operators import graph as G
 from tidewire.operators import quality as Q
@@ -146,6 +146,21 @@ def test_html():
 
 def test_language(spark):
     assert values(spark, is_english(F.col("x")), ["The cat is on the mat", "Kucing itu duduk", "", None]) == [True, False, False, None]
+    texts = ["Kata mereka tidak akan ada lagi orang di sana", "Les gens ne sont pas dans la ville", "Das ist nicht der Weg für die Stadt", "Los niños no están en la casa", "日本語", "12 34", None]
+    assert values(spark, language(F.col("x")), texts) == ["ms", "fr", "de", "es", None, None, None]
+
+
+def test_language_agrees_with_labels(spark):
+    """Of the documents that carry a language, nearly all are given it."""
+    import os
+
+    from tests.oracle import SF
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("text").rlike(r"\w") & F.col("lang").isNotNull())
+    rows = docs.select(F.lower(F.substring("lang", 1, 2)).alias("label"), language(F.col("text")).alias("got")).filter(F.col("label").isin("en", "ms")).collect()
+    assert len(rows) > 50 and sum(r.label == r.got for r in rows) / len(rows) > 0.96
 
 
 SENTENCE = "sentence_id bigint, url string, publishedAt string, cleaned_title string, cleaned_description string, source string, source_domain string, category string, word_count int, people_mentioned array<string>, organizations_mentioned array<string>, locations_mentioned array<string>, sentence string, Sentiment_Result int"

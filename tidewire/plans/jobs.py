@@ -83,6 +83,10 @@ def lang_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(language.is_english(F.col("text"))).select("doc_id")
 
 
+def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", language.language(F.col("text")).alias("language"))
+
+
 def ml_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences scored by a model trained on the scored ones."""
     sentences = table(spark, sf, "enriched_sentences")
@@ -117,6 +121,7 @@ QUERIES = {
     "html_families": html_families,
     "topic_labels": topic_labels,
     "lang_filter": lang_filter,
+    "lang_detect": lang_detect,
     "ml_sentiment": ml_sentiment,
     "ml_accuracy": ml_accuracy,
     "ml_topics": ml_topics,
@@ -126,7 +131,10 @@ _TIMED = r"""t AS (SELECT msg_id, source_name, try_cast(CASE WHEN regexp_matches
   FROM kafka_schema WHERE regexp_matches(publishedAt, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$')),
   e AS (SELECT msg_id, source_name, moment FROM t WHERE moment IS NOT NULL)"""
 _OUTLET = "CASE " + " ".join(f"WHEN contains(url, '{p}') THEN '{v}'" for p, v in L.OUTLETS) + " ELSE 'Other' END"
-_ENGLISH = "[" + ", ".join(f"'{w}'" for w in language.ENGLISH) + "]"
+_SHARES = ", ".join(f"len(list_filter(w, lambda x: list_contains([{', '.join(repr(x) for x in ws.split())}], x)))::DOUBLE / len(w) AS {k}" for k, ws in language.WORDS.items())
+_LANGUAGE = f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}'']+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, {_SHARES} FROM w WHERE len(w) > 0),
+        l AS (SELECT doc_id, CASE WHEN greatest({', '.join(language.WORDS)}) < {language.LEAST} THEN NULL """ + " ".join(f"WHEN {k} = greatest({', '.join(language.WORDS)}) THEN '{k}'" for k in language.WORDS) + """ END AS language, en FROM s)"""
 
 SQL = {
     "stream_sentences": f"""WITH c AS (SELECT msg_id, url, {_CLEAN} AS cleaned FROM kafka_schema WHERE title IS NOT NULL AND content IS NOT NULL),
@@ -157,6 +165,6 @@ SQL = {
     "html_title": "SELECT record_id, coalesce(nullif(trim(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')), ''), 'No Title Found') AS title FROM pipeline_task1",
     "html_extract": """SELECT record_id, coalesce(nullif(trim(title), ''), 'No Title Found') AS title,
         len(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: regexp_matches(x, '\\S')))::INTEGER AS paragraphs FROM pipeline_task1""",
-    "lang_filter": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
-        SELECT doc_id FROM w WHERE len(w) > 0 AND len(list_filter(w, lambda x: list_contains({_ENGLISH}, x)))::DOUBLE / len(w) >= 0.12""",
+    "lang_filter": f"WITH {_LANGUAGE} SELECT doc_id FROM l WHERE language = 'en' AND en >= {language.GATE}",
+    "lang_detect": f"WITH {_LANGUAGE} SELECT doc_id, language FROM documents LEFT JOIN l USING (doc_id)",
 }
