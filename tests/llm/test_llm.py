@@ -2,7 +2,7 @@
 
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +122,33 @@ def test_candidates_of_frequent_words(spark):
     assert not {p for p in pairs if set(p) <= set(firms[2:6])} and len(names.candidates(df).collect()) > len(pairs)
 
 
+def test_no_pair_of_a_frequent_word_is_lost(spark):
+    """Whatever word is frequent, the candidates have every pair that a comparison of all pairs accepts."""
+    rest = ["Services", "Svcs", "Servces", "International", "Intl", "Internatinal", "Development", "Dev", "Devlp", "Management", "Mgmt", "Энергетика", "Энр", "Х" + "ы" * 30, "Хыыыы"]
+    firms = rest + [f"{a} {b}" for a in ("Kadetuhas", "Kadituhes", "Iadetuhas", *rest) for b in rest] + [f"{a} {b} {c}" for a in ("Kadetuhas", "Kad") for b in rest[:8] for c in rest[3:13]] + ["K Services", "K Servces", "K Svcs"]
+    parsed = {f: names.parse("organization", f) for f in firms}
+    accepted = {(a, b) for a, b in combinations(sorted(firms), 2) if names.same("organization", parsed[a], parsed[b])}
+    df = spark.createDataFrame([("organization", f, k) for k, f in enumerate(firms)], "kind string, name string, id bigint")
+    for frequent in (0, 20):
+        found = names.candidates(df, frequent=frequent).select("name_a", "name_b").collect()
+        assert len(found) == len(set(found)) and accepted <= {tuple(sorted(r)) for r in found}
+
+
+def test_short_and_long_keys_meet():
+    words = ["svcs", "services", "intl", "international", "int", "devlp", "development", "co", "company", "x" * 30, "xxx", "ab", "a", "b&q", "бнк", "банковский", "interprovincialadministration", "interpr", "ntl", "interadm"]
+    pairs = [(a, b) for a in words for b in words if len(a) < len(b) and names.shortened(a, b)]
+    assert len(pairs) > 8 and all(names.short_keys(a) & names.long_keys(b) for a, b in pairs)
+
+
+def test_groups_of_frequent_words(spark):
+    """Over 50 organisations have the word; its own slips and the abbreviations beside it still belong together."""
+    others = [f"{a}{b}{c}{d} Services" for a, b, c, d in product(("Ka", "Zo", "Mu", "Pe"), ("va", "di", "lo", "ru"), ("ba", "gi", "fo", "nu"), ("mir",))]
+    pairs = [("International Services", "Intl Services"), ("Offshore Services", "Offshr Servces"), ("Services", "Servces"), ("Management Services", "Mgmt Srvices")]
+    df = spark.createDataFrame([([], others + [x for p in pairs for x in p])], "people_mentioned array<string>, organizations_mentioned array<string>")
+    assert len(others) > names.FREQUENT
+    assert set(rows_of(names.variant_pairs(names.groups(names.spellings(df))))) >= {("organization", *sorted(p)) for p in pairs}
+
+
 def test_groups(spark):
     people = ["Anthony Wabogadus", "A. Wabogadus", "\tWabogadus, Tony ", "Andrew Zed", "Alice Zed", "Zed, A.", "", None, "Anthony Wabogadus"]
     firms = ["United Jeposorin Harbour Dredging Authority", "UJHDA", "U.J.H.D.A.", "Lone Firm"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -50,8 +50,11 @@ CLASSES = str.maketrans({**dict.fromkeys("bpfv", "1"), **dict.fromkeys("cgjkqsxz
 
 #: Jaro-Winkler similarity that two spellings of one word have at least, one mistyped letter apart.
 ALIKE = 0.88
-#: A word of more spellings of organisations than this doesn't tell one with the first letters of its other words alone.
+#: A code that words of more spellings of organisations have doesn't tell one with the first letters of the other words
+#: alone; there a second word or its abbreviations are looked up.
 FREQUENT = 50
+#: Words of more letters than this look for their abbreviations by the first letter and one other.
+LONG = 24
 
 
 def plain(text: str) -> str:
@@ -172,17 +175,16 @@ def _assigned(fits: list[list[bool]]) -> bool:
 
 def same(kind: str, a: Name, b: Name) -> bool:
     """Whether two parsed spellings are of one entity: the same words, turned round (people) or in any order
-    (organisations), with nicknames, abbreviations, and at most one mistyped word on each side."""
+    (organisations), with nicknames, abbreviations, and at most one mistyped word on each side. Organisations have one
+    word that agrees at least: a mistyped one, or one whose codes agree but for a letter."""
     if len(a.words) != len(b.words) or not a.words or a.acronym or b.acronym:
         return False
     if kind == "organization":
         if a.legal and b.legal and a.legal != b.legal:
             return False
         near = [[shortened(x, y) for y in b.words] for x in a.words]
-        if _assigned(near):
-            return True
-        slips = [(i, j) for i, x in enumerate(a.words) for j, y in enumerate(b.words) if not near[i][j] and mistyped(x, y)]
-        return any(_assigned([[c for k, c in enumerate(row) if k != j] for h, row in enumerate(near) if h != i]) for i, j in slips)
+        agree = [(i, j) for i, x in enumerate(a.words) for j, y in enumerate(b.words) if (_slips(x) & _slips(y) if near[i][j] else mistyped(x, y))]
+        return any(_assigned([[c for k, c in enumerate(row) if k != j] for h, row in enumerate(near) if h != i]) for i, j in agree)
     if len(a.words) < 2:
         return False
 
@@ -204,14 +206,15 @@ def _slips(word: str) -> frozenset[str]:
     return frozenset({phonetic(word)} | {phonetic(word[:k] + word[k + 1 :]) for k in range(len(word))})
 
 
-def blocks(kind: str, name: Name) -> set[tuple[str, str]]:
+def blocks(kind: str, name: Name) -> set[tuple[str, str | None]]:
     """Keys that spellings of one entity share: phonetic codes of all sorted words, one of them with a letter left out.
 
     Two spellings with a slip in one word meet in a key of that word. Words of organisations may be abbreviated, so there
     a key has the codes of two words, one with a letter left out, and the first letters of the others; and, for
     organisations with an abbreviation beside the slip, the code of one word and the first letters of all others. The
-    second part of a key is the word that stands alone in it, else empty: a word that many organisations have tells
-    nothing with first letters alone, and ``groups`` leaves such keys out.
+    second part of a key is the code that stands alone in it, else None: a code that many organisations have tells
+    nothing with first letters alone, and ``candidates`` has ``_further_keys`` instead of such keys. For these, a single
+    word has keys with itself and without each of its letters.
     """
     if kind == "person":
         if len(name.words) < 2:
@@ -223,18 +226,59 @@ def blocks(kind: str, name: Name) -> set[tuple[str, str]]:
             for j, other in enumerate(options):
                 if j != k:
                     rest = [f"{r} {c}" for r in rest for c in other]
-            out |= {("p:" + " ".join(sorted([*r.split(), less])), "") for r in rest for less in options[k] | _slips(word)}
+            out |= {("p:" + " ".join(sorted([*r.split(), less])), None) for r in rest for less in options[k] | _slips(word)}
         return out
     out = set()
     for k, word in enumerate(name.words):
         others = [(w, "".join(sorted(x[0] for j, x in enumerate(name.words) if j not in (k, at)))) for at, w in enumerate(name.words) if at != k]
         letters = "".join(sorted(w[0] for j, w in enumerate(name.words) if j != k))
         for less in _slips(word):
-            out.add((f"o:{less}:{letters}", phonetic(word)))
-            out |= {("o:" + " ".join(sorted([less, phonetic(w)])) + f":{rest}", "") for w, rest in others}
+            out.add((f"o:{less}:{letters}", less))
+            out |= {(_two(less, phonetic(w), rest), None) for w, rest in others}
+            if not others:
+                out.add((f"o1:{less}:{word}", None))
+        if not others:
+            out |= {(f"o1:{w}", None) for w in (word, *(word[:k] + word[k + 1 :] for k in range(len(word))))}
     return out
 
 
+def _two(less: str, code: str, rest: str) -> str:
+    return "o:" + " ".join(sorted([less, code])) + f":{rest}"
+
+
+def _subsequences(letters: str, most: int) -> set[str]:
+    """The different strings of 2 to ``most`` letters that are in ``letters`` in their order."""
+    of: list[set[str]] = [{""}, *(set() for _ in range(most))]
+    for c in letters:
+        for n in range(most, 0, -1):
+            of[n] |= {s + c for s in of[n - 1]}
+    return set().union(*of[2:])
+
+
+def short_keys(word: str) -> set[str]:
+    """Keys of an abbreviation, of which each word that it shortens (``shortened``, two letters more at least) has one in
+    ``long_keys``."""
+    if len(word) < 2:
+        return set()
+    keys = {f"={word}", f"x{word[:2]}"}
+    if len(word) >= 3 and not set(word[1:]) & set("aeiou"):
+        keys.add(f"c{word[:4]}")
+    if len(word) >= 5:
+        keys.add(f"l{word[:5]}")
+    return keys
+
+
+def long_keys(word: str) -> set[str]:
+    """Keys of a word that may be abbreviated: its beginnings, and its first letters with others in their order."""
+    if len(word) < 4:
+        return set()
+    if len(word) > LONG:
+        return {f"x{word[0]}{c}" for c in set(word[1:])}
+    keys = {f"={word[:k]}" for k in range(2, len(word) - 1)}
+    keys |= {f"c{word[0]}{s}" for s in _subsequences("".join(c for c in word[1:] if c not in "aeiou"), 3)}
+    return keys | {f"l{word[:3]}{s}" for s in _subsequences(word[3:], 2)}
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kinds, names = (batch.column(c).to_pylist() for c in ("kind", "name"))
@@ -245,10 +289,59 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phonetic codes of each organisation's words."""
+    """The codes of each organisation's words, whole and without a letter."""
+    for batch in batches:
+        names = [parse(kind, name) for kind, name in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist(), strict=True) if kind == "organization"]
+        yield pa.RecordBatch.from_arrays([pa.array([c for n in names for c in frozenset().union(*map(_slips, n.words))], pa.string())], ["alone"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each organisation."""
+    for batch in batches:
+        kinds, names = (batch.column(c).to_pylist() for c in ("kind", "name"))
+        rows = [(k, word) for k, (kind, name) in enumerate(zip(kinds, names, strict=True)) if kind == "organization" for word in set(parse(kind, name).words)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("kind", "name", "id")), pa.array([r[1] for r in rows], pa.string())], ["kind", "name", "id", "word"])
+
+
+def _abbreviations(words: DataFrame) -> DataFrame:
+    """(word, short): all pairs of different ``words`` (word) of which the second is a usual abbreviation of the first."""
+
+    def keyed(keys: Callable[[str], set[str]], column: str) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(w, key) for w in batch.column("word").to_pylist() for key in keys(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], [column, "key"])
+
+        return words.mapInArrow(each, f"{column} string, key string")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            long, short = batch.column("word").to_pylist(), batch.column("short").to_pylist()
+            yield batch.filter(pa.array([len(x) > len(y) and shortened(y, x) for x, y in zip(long, short, strict=True)], pa.bool_()))
+
+    met = keyed(long_keys, "word").join(keyed(short_keys, "short"), "key").select("word", "short")
+    return met.mapInArrow(verified, "word string, short string").distinct()
+
+
+def _further_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two-word keys that organisations would have with ``short`` instead of their ``word``; ``alone`` is the other
+    word's code in them."""
     for batch in batches:
-        rows = [phonetic(w) for kind, name in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist(), strict=True) if kind == "organization" for w in set(parse(kind, name).words)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["alone"])
+        rows = []
+        for k, (name, long, short) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("name", "word", "short")), strict=True)):
+            words, code = parse("organization", name).words, phonetic(short)
+            if len(words) == 1:
+                rows += [(k, f"o1:{less}:{short}", less) for less in _slips(long)]
+            elif code != phonetic(long):
+                at = words.index(long)
+                for i, word in enumerate(words):
+                    if i != at:
+                        rest = "".join(sorted(w[0] for j, w in enumerate(words) if j not in (i, at)))
+                        rows += [(k, _two(less, code, rest), less) for less in _slips(word)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        columns = [batch.column(c).take(at) for c in ("kind", "name", "id")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["kind", "name", "id", "key", "alone"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,14 +388,28 @@ def candidates(names: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(kind, id_a, name_a, id_b, name_b): spellings of ``names`` (kind, name, id) that share a block, id_a < id_b, once
     each.
 
-    Organisations whose shared word is in more than ``frequent`` spellings meet only where a second word agrees, too.
+    Organisations whose shared code is in more than ``frequent`` spellings meet only where a second word agrees, too, or
+    is abbreviated. Every pair that is the ``same`` is among the candidates, whatever ``frequent`` is: one of its words
+    agrees, and each of its other words has the code of its counterpart or is short for it.
     """
+    schema = "kind string, name string, id bigint, key string, alone string"
     counted = names.mapInArrow(_word_codes, "alone string").groupBy("alone").agg(F.count(F.lit(1)).alias("n"))
-    keyed = names.mapInArrow(_keys, "kind string, name string, id bigint, key string, alone string")
-    keyed = keyed.join(counted.filter(F.col("n") > frequent), "alone", "left_anti").withColumn("key", F.xxhash64("key"))
-    left, right = (keyed.select("key", "kind", F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
-    pairs = left.join(right.drop("kind"), "key").filter("id_a < id_b")
-    return pairs.select("kind", "id_a", "name_a", "id_b", "name_b").dropDuplicates(["id_a", "id_b"])
+    often = cut(counted.filter(F.col("n") > frequent).select("alone"))
+    keyed = names.mapInArrow(_keys, schema).join(often, "alone", "left_anti").withColumn("key", F.xxhash64("key"))
+    words = names.mapInArrow(_words, "kind string, name string, id bigint, word string")
+    further = words.join(_abbreviations(words.select("word").distinct()), "word").mapInArrow(_further_keys, schema)
+    further = further.join(often, "alone", "left_semi").withColumn("key", F.xxhash64("key")).dropDuplicates(["id", "key"])
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        left, right = (d.select("key", "kind", F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}")) for d, s in ((x, "a"), (y, "b")))
+        return left.join(right.drop("kind"), "key")
+
+    pairs = met(keyed, keyed).filter("id_a < id_b")
+    turned = met(further, keyed).filter("id_a <> id_b")
+    first = F.col("id_a") < F.col("id_b")
+    ordered = [F.when(first, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{t}")).alias(f"{c}_{s}") for s, t in ("ab", "ba") for c in ("id", "name")]
+    pairs = pairs.select("kind", "id_a", "name_a", "id_b", "name_b").unionByName(turned.select("kind", *ordered))
+    return pairs.dropDuplicates(["id_a", "id_b"])
 
 
 def groups(names: DataFrame) -> DataFrame:
